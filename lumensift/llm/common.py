@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: At most so many of the heaviest keys are sent to every task of a lookup.
-HOT_KEYS = 1024
+#: At most so many of the heaviest keys are sent to every task of a lookup, and only keys with more rows than COLD_ROWS.
+HOT_KEYS, COLD_ROWS = 1024, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int =
     """
     values = [c for c in right.columns if c not in (key, weight)]
     packed = right.select(F.col(key), F.col(weight), F.struct(*values).alias("__ls_v"))
-    top = packed.orderBy(F.desc(weight), key).limit(hot).select(F.col(key).alias("__ls_hk"), F.col("__ls_v").alias("__ls_hv"))
+    top = packed.filter(F.col(weight) > COLD_ROWS).orderBy(F.desc(weight), key).limit(hot).select(F.col(key).alias("__ls_hk"), F.col("__ls_v").alias("__ls_hv"))
     first = left.join(F.broadcast(top), left[key] == F.col("__ls_hk"), "left")
     # A row that the hot keys have answered gets a null key and a salt of its own, so that such rows spread over the tasks.
     answered = F.col("__ls_hk").isNotNull() | F.col(key).isNull()

@@ -45,7 +45,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     input gives an empty result; other columns of df, whatever their names, play no part.
     """
     digests = staged(digest_runs(df, id_col, text_col), "digests")
-    groups = merge_tree(digests, keep=keep).select("key", "keep_id", "group_size", F.col("group_size").alias("w"))
+    groups = staged(merge_tree(digests, keep=keep).withColumn("w", F.col("group_size")), "groups")
     found = lookup(digests, groups, "key", "w")
     return found.select(
         F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")

@@ -8,17 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumensift.llm.common import UPPER, table
 from lumensift.llm.exact_dedup import exact_dedup
+from lumensift.llm.licenses import scan_licenses
+from lumensift.llm.token_counts import count_tokens
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_license_scans": op9_license_scans,
     }
 
 
