@@ -178,7 +178,7 @@ def _rules() -> tuple[Rule, ...]:
     out += [Rule("cc0-1.0", r"\bcc0(?: 1 0)?\b", "cc0", 1, 1.0), Rule("cc0-1.0", r"\bcreative commons zero\b", "creative", 1, 1.0)]
     for label, names, keyword in _NAMED:
         # An SPDX tag, "licensed under the X", "under the X license", "X license" and "license: X".
-        for name in names:
+        for name in (n.replace(_V + " ?", "@").replace(_V + " ", _V + " v?").replace("@", _V + " ?v?") for n in names):
             key = max(re.findall(r"[a-z0-9]{3,}", re.sub(r"\(\?[:!][^()]*\)\??|\[[^]]*\]|\\.", " ", name)) or [keyword], key=len)
             out += [
                 Rule(label, rf"\bspdx license identifier {name}\b", "spdx", 1, 1.0),

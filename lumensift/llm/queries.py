@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumensift.llm import chat
 from lumensift.llm.common import UPPER, table
 from lumensift.llm.exact_dedup import exact_dedup
 from lumensift.llm.licenses import scan_licenses
+from lumensift.llm.simhash import near_duplicates
 from lumensift.llm.token_counts import count_tokens
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -18,6 +20,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))], rows.schema)
+    return chat.read_back(chat.format_chats(rows.union(extra)))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,6 +41,8 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_chat_formatting": op2_chat_formatting,
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_license_scans": op9_license_scans,
     }
@@ -36,6 +50,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_formatting": rf"""
+            WITH c AS (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+            ), e AS (SELECT *, regexp_replace(text, '{chat.CONTROL}', '\1\\\2\3', 'g') AS et, regexp_replace(role, '{chat.CONTROL}', '\1\\\2\3', 'g') AS er FROM c)
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   sum(length(er) + length(et) + {len(chat.TURN + chat.TEXT + chat.END)})::BIGINT AS formatted_chars
+            FROM e GROUP BY conv_id""",
         "op6_exact_dedup": f"""
             WITH d AS (SELECT doc_id, sha256({_LOWER}) AS s FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
