@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumensift.llm import chat
 from lumensift.llm.common import UPPER, table
 from lumensift.llm.exact_dedup import exact_dedup
+from lumensift.llm.html_extract import extract
 from lumensift.llm.licenses import scan_licenses
 from lumensift.llm.simhash import near_duplicates
 from lumensift.llm.token_counts import count_tokens
@@ -34,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_formatting": op2_chat_formatting,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_html_extraction": op8_html_extraction,
         "op9_license_scans": op9_license_scans,
     }
 
