@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumensift.llm import chat
+from lumensift.llm import chat, langid
 from lumensift.llm.common import UPPER, table
 from lumensift.llm.exact_dedup import exact_dedup
 from lumensift.llm.html_extract import extract
 from lumensift.llm.licenses import scan_licenses
+from lumensift.llm.mixing import Targets, mix, mix_sql
 from lumensift.llm.simhash import near_duplicates
 from lumensift.llm.token_counts import count_tokens
 
+#: Production weights: three domains, four languages, one source played down; twice-read leaves at most four times.
+TARGETS = Targets(
+    domains={"web": 50, "books": 30, "code": 20}, languages={"en": 50, "de": 20, "fr": 15, "es": 15}, sources={"src0": 5, "src7": 20},
+    domain_of={f"src{k}": ("books" if k < 12 else "code") for k in range(6, 20)},
+)
+
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 
@@ -31,6 +39,21 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs, "text", "lang", "doc_id"), host=F.col("source"), declared=F.col("lang"))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where markup, address and host speak: pages, with the text model of the documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    host = F.lower(F.regexp_extract("url", r"://([^/?#:]+)", 1))
+    found = langid.identify(
+        pages, langid.train(docs, "text", "lang", "doc_id"), "page_id", "html", host=host, declared=langid.declared_in_markup(F.col("html")), url=F.col("url")
+    )
+    return found
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,14 +66,21 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), TARGETS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_chat_formatting": op2_chat_formatting,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_language_id": op5_language_id,
+        "page_languages": page_languages,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_html_extraction": op8_html_extraction,
         "op9_license_scans": op9_license_scans,
+        "op10_mixing": op10_mixing,
     }
 
 
@@ -71,4 +101,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256
             FROM d""",
+        "op10_mixing": mix_sql(TARGETS),
     }
