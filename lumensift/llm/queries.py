@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumensift.llm import chat, langid
 from lumensift.llm.common import UPPER, table
+from lumensift.llm.decontaminate import leaks
 from lumensift.llm.exact_dedup import exact_dedup
 from lumensift.llm.html_extract import extract
 from lumensift.llm.licenses import scan_licenses
@@ -35,6 +36,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.union(extra)))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_language_id": op5_language_id,
         "page_languages": page_languages,
