@@ -1 +1 @@
-"""See the modules of this package."""
+"""Incremental index builds."""
