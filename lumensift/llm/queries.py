@@ -15,6 +15,7 @@ from lumensift.llm.html_extract import extract
 from lumensift.llm.licenses import scan_licenses
 from lumensift.llm.mixing import Targets, mix, mix_sql
 from lumensift.llm.simhash import near_duplicates
+from lumensift.llm.substring_dedup import dedup_substrings
 from lumensift.llm.token_counts import count_tokens
 
 #: Production weights: three domains, four languages, one source played down; twice-read leaves at most four times.
@@ -63,6 +64,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "page_languages": page_languages,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_html_extraction": op8_html_extraction,
         "op9_license_scans": op9_license_scans,
         "op10_mixing": op10_mixing,
@@ -107,5 +113,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256
             FROM d""",
+        "op7_substring_dedup": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            tok AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+            win AS (SELECT *, string_agg(t, ' ') OVER x AS g, count(*) OVER x AS c FROM tok WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+            late AS (SELECT *, c = 13 AND min(doc_id) OVER (PARTITION BY g, c) < doc_id AS late FROM win),
+            cov AS (SELECT doc_id, i, t, max(CASE WHEN late THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM late),
+            s AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(t, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM cov GROUP BY doc_id)
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
         "op10_mixing": mix_sql(TARGETS),
     }
