@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumensift.workspace import scratch
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: At most so many of the heaviest keys are sent to every task of a lookup, and only keys with more rows than COLD_ROWS.
 HOT_KEYS, COLD_ROWS = 1024, 64
@@ -29,26 +29,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (local tests) an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lumensift-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and rereads it: cuts the lineage, survives lost executors, and is computed once.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumensift/{name}-{uuid.uuid4().hex}"
+    """Writes df as Parquet into the shared folder and rereads it: cuts the lineage, survives lost executors, and is computed once."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = HOT_KEYS, salt: str | None = None) -> DataFrame:
