@@ -20,6 +20,7 @@ from lumensift.llm.common import lookup, only, staged
 from lumensift.llm.token_counts import _arrow
 
 BUCKETS = 1 << 15
+UNKNOWN = "und"
 #: A-Z become a-z and all other ASCII but letters a space: digits, addresses and marks speak for no language.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in bytes(range(256)).lower())
 #: Country domains and path segments that speak for a language.
@@ -64,12 +65,13 @@ def trigrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def train(df: DataFrame, text_col: str, label_col: str, id_col: str, languages: Sequence[str] | None = None, rows: int = 20_000, alpha: float = 0.05, most_languages: int = 64) -> Model:
     """Fits the trigram model on about `rows` labelled rows, drawn by a hash of the id; trigrams are counted on the executors.
 
-    The driver receives at most languages x BUCKETS sums. Without a list, the most_languages commonest labels are learnt.
+    The driver receives at most languages x BUCKETS sums. Without a list, the most_languages commonest labels are learnt;
+    where no row is labelled, the model has one language, UNKNOWN, under which all trigrams are alike.
     """
     labelled = only(df, __id=id_col, __text=text_col, label=label_col).filter("label is not null and __text is not null")
     if languages is None:
         languages = [r.label for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_languages).collect()]
-    languages = tuple(sorted(languages))
+    languages = tuple(sorted(languages)) or (UNKNOWN,)
     known = labelled.filter(F.col("label").isin(list(languages)))
     share = min(1.0, rows / max(1, known.count()))
     sample = known.filter(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))

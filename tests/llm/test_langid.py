@@ -81,3 +81,12 @@ def test_address_and_markup(spark):
     rows = [("https://a.example.org/de/1", "<html lang='FR-ca'>"), ("http://www.x.de:80/en", "<html class=a lang=es>"), ("http://x.fr", "<p lang=de>"), ("http://x.org/xx/", None), (None, "")]
     df = spark.createDataFrame(rows, "u string, h string").select(langid.suffix_language(F.col("u")), langid.declared_in_markup(F.col("h")))
     assert list(map(tuple, df.collect())) == [("de", "fr"), ("en", "es"), ("fr", None), (None, None), (None, None)]
+
+
+def test_no_labelled_row_leaves_one_unknown_language(spark):
+    df, _ = corpus(spark, 5)
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    for rows in (unlabelled, df.limit(0)):
+        model = langid.train(rows, "text", "lang", "doc_id")
+        assert model.languages == (langid.UNKNOWN,)
+        assert [(r.lang, r.prob, r.kept) for r in langid.identify(rows, model, host=F.col("source"), declared=F.col("lang")).collect()] == [("und", 1.0, True)] * rows.count()
