@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,7 +34,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: cuts the lineage, survives lost executors, and is computed once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later plan reads, and lets Spark's cleaner delete the shuffle files of plans that are written by now."""
+    spark = tables[0].sparkSession
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = HOT_KEYS, salt: str | None = None) -> DataFrame:

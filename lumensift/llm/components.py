@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import staged
+from lumensift.llm.common import discard, staged
 
 
 def connected_components(links: DataFrame, rounds: int = 200) -> DataFrame:
@@ -22,7 +22,9 @@ def connected_components(links: DataFrame, rounds: int = 200) -> DataFrame:
         met = labels.join(seen, "node").select("node", F.col("component").alias("before"), F.least("component", "theirs").alias("now"))
         up = labels.select(F.col("node").alias("now"), F.col("component").alias("up"))
         after = staged(met.join(up, "now").select("node", F.least("now", "up").alias("component"), (F.least("now", "up") != F.col("before")).alias("changed")), "labels")
-        labels = after.select("node", "component")
-        if after.filter("changed").limit(1).count() == 0:
-            return labels
+        done = after.filter("changed").limit(1).count() == 0
+        discard(labels, *([both] if done else []))
+        if done:
+            return after.select("node", "component")
+        labels = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,32 +1,35 @@
 """Substring deduplication: windows of words that start in a document with a smaller id are found with FM-indexes per shard.
 
-1. Each window has a minimizer. Minimizers that only one document has can't belong to a repeated window: grouped by hash,
-   they fall away, and with them most of the text.
-2. The runs of windows that share one of the others (a run's words are a segment) go to the shard of that minimizer. As
-   equal windows have equal minimizers, a shard sees all places of its windows; equal segments are one by then.
-3. A shard is an FM-index of its segments. They are streamed against it by backward search: where a segment's matching
-   statistics reach the window's length, the interval's smallest document id is that of the window's first document.
+1. Each window has a minimizer. A run of neighbouring windows with one minimizer is a segment of words. Grouped by
+   minimizer, those that only one document has fall away, and with them most of the text: they can't belong to a repeated
+   window, as equal windows have equal minimizers.
+2. Where all segments under a minimizer are alike (by a 64-bit hash of their words, besides that of the minimizer), all
+   their windows first stand in the smallest document, and there is nothing to search.
+3. The other segments go to the shard of their minimizer, which so sees all places of its windows; equal segments are one
+   by then. A shard is an FM-index of its segments. They are streamed against it by backward search: where a segment's
+   matching statistics reach the window's length, the interval's smallest document id is that of the window's first document.
 4. Each document drops the words that its repeated windows cover.
 
-Segments under one minimizer that are all alike need no index, and those of a minimizer with very many different
-segments are grouped by whole windows instead, so no shard is larger than a task can hold. Nothing is dropped by either.
+The segments of a minimizer with very many different ones are grouped by whole windows instead, so no shard is larger than
+a task can hold. Nothing is dropped by that. Texts are never staged: they are shuffled twice, once to meet their shared
+minimizers and once to meet what they drop.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import lookup, only, staged
+from lumensift.llm.common import discard, lookup, only, staged
 from lumensift.llm.fm_index import DEPTH, matching_first
 from lumensift.llm.token_counts import _arrow
-from lumensift.llm.windows import minimizers, runs, split, words_of
+from lumensift.llm.windows import minimizers, run_hashes, runs, split, words_of
 
 GRAM = 5
 #: Characters taken at a time; segments in one index, at least; different segments above which a minimizer goes by whole windows.
@@ -46,55 +49,81 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list
         a = b
 
 
-def _release(spark) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that are staged by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _document_minimizers(docs: DataFrame, window: int) -> DataFrame:
-    schema = pa.schema([("v", pa.int64()), ("__id", _arrow(docs.schema["__id"].dataType))])
+def _document_minimizers(docs: DataFrame, window: int, keys: bool) -> DataFrame:
+    """v, __id and, with keys, the least and the greatest hash (lo, hi) of its segments: a row for each minimizer of each document."""
+    kind = docs.schema["__id"].dataType
+    schema = pa.schema([("v", pa.int64()), ("__id", _arrow(kind)), *([("lo", pa.int64()), ("hi", pa.int64())] if keys else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, texts in _pieces(batch, 1):
                 w = words_of(texts)
                 first, place, value = minimizers(w, window, GRAM)
-                start, _ = runs(first, place)
-                text = np.searchsorted(w.first, first[start], side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(value[start]), batch.column(0).take(pa.array(text + a))], schema=schema)
+                start, end = runs(first, place)
+                if not len(start):
+                    continue
+                text, v = np.searchsorted(w.first, first[start], side="right") - 1, value[start]
+                order = np.lexsort((v, text))
+                new = np.flatnonzero(np.diff(v[order], prepend=0).astype(bool) | np.diff(text[order], prepend=-1).astype(bool))
+                columns = [pa.array(v[order[new]]), batch.column(0).take(pa.array(text[order[new]] + a))]
+                if keys:
+                    h = run_hashes(w, first[start], first[end - 1] + window)[order]
+                    columns += [pa.array(np.minimum.reduceat(h, new)), pa.array(np.maximum.reduceat(h, new))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("__id", "__text").mapInArrow(run, f"v bigint, __id {docs.schema['__id'].dataType.simpleString()}")
+    return docs.select("__id", "__text").mapInArrow(run, f"v bigint, __id {kind.simpleString()}" + ", lo bigint, hi bigint" * keys)
 
 
 def _segments(flagged: DataFrame, window: int) -> DataFrame:
-    """__id, __th, v, start (word), key (a digest of the words), words: the runs whose minimizer is in the row's flags."""
+    """For rows (__id, __th, __text, flags), flags being (v, first, alone) of the document's shared minimizers:
+
+    __id, __th, late: the windows of segments that are alone under their minimizer and whose first document is an earlier one;
+    __id, __th, v, start (word), key (a digest of the words), words: each segment of the other minimizers.
+    """
     kind = flagged.schema["__id"].dataType
-    schema = pa.schema([("__id", _arrow(kind)), ("__th", pa.int64()), ("v", pa.int64()), ("start", pa.int64()), ("key", pa.binary()), ("words", pa.string())])
+    schema = pa.schema([
+        ("__id", _arrow(kind)), ("__th", pa.int64()), ("late", pa.list_(pa.int64())), ("v", pa.int64()), ("start", pa.int64()), ("key", pa.binary()), ("words", pa.string()),
+    ])
+
+    def out(batch: pa.RecordBatch, row: int, n: int, late: list, v: list, start: list, data: list) -> pa.RecordBatch:
+        same = pa.array([row] * n)
+        digests = [d if d is None else hashlib.md5(d).digest() for d in data]
+        columns = [late, v, start, digests, [d if d is None else d.decode("utf-8", "surrogatepass") for d in data]]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), *(pa.array(c, type=f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[pa.RecordBatch] = []
             for a, b, texts in _pieces(batch, 2):
                 w = words_of(texts)
                 first, place, value = minimizers(w, window, GRAM)
                 start, end = runs(first, place)
-                text = np.searchsorted(w.first, first[start], side="right") - 1
-                bounds = np.searchsorted(text, np.arange(b - a + 1))
-                kept = [bounds[k] + np.flatnonzero(np.isin(value[start[bounds[k] : bounds[k + 1]]], batch.column(3)[a + k].values.to_numpy())) for k in range(b - a)]
-                some = np.concatenate(kept) if kept else np.empty(0, np.int64)
-                rows = pa.array(text[some] + a)
-                data = [w.text(first[start[k]], first[end[k] - 1] + window) for k in some]
-                for k in range(0, len(some), 5000):
-                    part, of = some[k : k + 5000], rows.slice(k, 5000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(of), batch.column(1).take(of), pa.array(value[start[part]]), pa.array(first[start[part]] - w.first[text[part]]),
-                            pa.array([hashlib.md5(d).digest() for d in data[k : k + 5000]], pa.binary()), pa.array([d.decode("utf-8", "surrogatepass") for d in data[k : k + 5000]]),
-                        ],
-                        schema=schema,
-                    )
-
-    return flagged.select("__id", "__th", "__text", "vs").mapInArrow(run, f"__id {kind.simpleString()}, __th bigint, v bigint, start bigint, key binary, words string")
+                bounds = np.searchsorted(first[start], w.first)
+                for k in range(b - a):
+                    flags, i = batch.column(3)[a + k].values, batch.column(0)[a + k]
+                    vs = flags.field("v").to_numpy()
+                    order = np.argsort(vs)
+                    own = np.arange(bounds[k], bounds[k + 1])
+                    at = order[np.minimum(np.searchsorted(vs, value[start[own]], sorter=order), len(vs) - 1)]
+                    own, at = (x[vs[at] == value[start[own]]] for x in (own, at))
+                    alone = flags.field("alone").to_numpy(zero_copy_only=False)[at]
+                    late = own[alone & pc.less(flags.field("first"), i).to_numpy(zero_copy_only=False)[at]]
+                    if len(late):
+                        windows = np.concatenate([first[start[j] : end[j]] for j in late]) - w.first[k]
+                        found.append(out(batch, a + k, 1, [windows], [None], [None], [None]))
+                    rest = own[~alone]
+                    for j in range(0, len(rest), 5000):
+                        part = rest[j : j + 5000]
+                        data = [w.text(first[start[x]], first[end[x] - 1] + window) for x in part]
+                        found.append(out(batch, a + k, len(part), [None] * len(part), value[start[part]], first[start[part]] - w.first[k], data))
+                    if len(found) >= 200:
+                        yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+                        found = []
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+    ddl = f"__id {kind.simpleString()}, __th bigint, late array<bigint>, v bigint, start bigint, key binary, words string"
+    return flagged.select("__id", "__th", "__text", "flags").mapInArrow(run, ddl)
 
 
 def _indexed(shards: DataFrame, window: int) -> DataFrame:
@@ -122,45 +151,51 @@ def _indexed(shards: DataFrame, window: int) -> DataFrame:
 
 
 def first_documents(segments: DataFrame, window: int) -> DataFrame:
-    """v, key, n (rows of segments with it), firsts (the first document of each of its windows), where a later document has a window of it."""
+    """segment (its v and key), n (rows of segments with it), firsts (the first document of each of its windows), where a later document has a window of it."""
     distinct = staged(
         segments.groupBy("v", "key").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n")), "distinct"
     )
     sizes = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
     sized = staged(distinct.join(sizes, "v"), "sized")
+    discard(distinct)
     keys = ["v", "key"]
-    n_windows = F.size(F.split("words", " ")) - (window - 1)
-    alone = sized.filter("k = 1").select(*keys, F.array_repeat("first", n_windows).alias("firsts"))
-    indexed = _indexed(sized.filter(f"k > 1 AND k <= {HOT}").select(*keys, "words", "first").repartition("v").sortWithinPartitions("v"), window)
-    places = F.sequence(F.lit(1), n_windows)
+    firsts = _indexed(sized.filter(f"k <= {HOT}").select(*keys, "words", "first").repartition("v").sortWithinPartitions("v"), window)
     parts = F.split("words", " ")
+    places = F.sequence(F.lit(1), F.size(parts) - (window - 1))
     whole = sized.filter(f"k > {HOT}").select(*keys, "first", F.posexplode(F.transform(places, lambda i: F.array_join(F.slice(parts, i, window), " "))).alias("i", "text"))
     least = whole.groupBy("text").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
     by_window = lookup(whole, least, "text", "n", salt="key").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("firsts"))
-    firsts = alone.union(indexed).union(by_window)
-    joined = firsts.join(sized.select(*keys, "last", "n"), keys)
-    return joined.filter(F.array_min("firsts") < F.col("last")).select(F.concat(F.hex("v"), F.lit(":"), F.hex("key")).alias("segment"), "n", "firsts")
+    joined = firsts.union(by_window).join(sized.select(*keys, "last", "n"), keys)
+    out = staged(joined.filter(F.array_min("firsts") < F.col("last")).select(_segment(), "n", "firsts"), "firsts")
+    discard(sized)
+    return out
+
+
+def _segment() -> Column:
+    return F.concat(F.hex("v"), F.lit(":"), F.hex("key")).alias("segment")
 
 
 def removals(docs: DataFrame, window: int) -> DataFrame:
     """__id, __th, windows: the first words of each document's repeated windows. docs has __id, __th (a hash of the text) and __text."""
-    spark = docs.sparkSession
-    pairs = staged(_document_minimizers(docs.filter("__id is not null"), window), "minimizers")
+    named = docs.filter("__id is not null")
+    both = _document_minimizers(named, window, keys=True).groupBy("v").agg(
+        F.min("__id").alias("first"), F.max("__id").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")
+    )
     # Two documents or more: the least and the greatest id differ.
-    shared = staged(pairs.groupBy("v").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).filter("a < b").select("v"), "shared")
-    _release(spark)
-    flags = staged(pairs.join(shared, "v", "left_semi").groupBy("__id").agg(F.collect_set("v").alias("vs")), "flags")
-    _release(spark)
-    segments = staged(_segments(docs.join(flags, "__id").select("__id", "__th", "__text", "vs"), window), "segments")
-    _release(spark)
-    firsts = staged(first_documents(segments, window), "firsts")
-    _release(spark)
-    placed = segments.select("__id", "__th", "start", F.concat(F.hex("v"), F.lit(":"), F.hex("key")).alias("segment"))
+    shared = staged(both.filter("first < last").select("v", "n", "first", (F.col("lo") == F.col("hi")).alias("alone")), "shared")
+    pairs = lookup(_document_minimizers(named, window, keys=False), shared, "v", "n", salt="__id").filter("alone is not null")
+    flags = staged(pairs.groupBy("__id").agg(F.collect_list(F.struct("v", "first", "alone")).alias("flags")), "flags")
+    discard(shared)
+    found = staged(_segments(named.join(flags, "__id").select("__id", "__th", "__text", "flags"), window), "segments")
+    discard(flags)
+    segments = found.filter("v is not null")
+    firsts = first_documents(segments, window)
+    placed = segments.select("__id", "__th", "start", _segment())
     known = lookup(placed, firsts, "segment", "n").filter("firsts is not null")
     late = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("__id"), F.col("start") + i)), lambda x: x.isNotNull())
-    some = known.select("__id", "__th", late.alias("late")).filter(F.size("late") > 0)
-    out = staged(some.groupBy("__id", "__th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("late")))).alias("windows")), "removals")
-    _release(spark)
+    every = known.select("__id", "__th", late.alias("late")).filter(F.size("late") > 0).union(found.filter("v is null").select("__id", "__th", "late"))
+    out = staged(every.groupBy("__id", "__th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("late")))).alias("windows")), "removals")
+    discard(found, firsts)
     return out
 
 

@@ -91,6 +91,16 @@ def minimizers(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return inside, place[inside], least[inside].view(np.int64)
 
 
+def run_hashes(w: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of words a[k] to b[k] for each k: a polynomial over the words' hashes, taken from running sums, and the number of words."""
+    up, down = _power_tables(len(w.hashes) + 1)
+    sums = np.zeros(len(w.hashes) + 1, dtype=np.uint64)
+    np.cumsum((w.hashes ^ (w.hashes >> np.uint64(29))) * up[: len(w.hashes)], out=sums[1:])
+    out = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
+    out ^= out >> np.uint64(31)
+    return (out * np.uint64(_BASE)).view(np.int64)
+
+
 def runs(first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[a, b) of the runs of neighbouring windows with one minimizer."""
     if not len(first):
