@@ -3,8 +3,9 @@
 A window of a document, as long as an item in words, leaks the item if the weighted Jaccard similarity of their word
 shingles (each weighted by how often it occurs) is at least the threshold.
 
-1. A window that similar shares a shingle with the item: windows are laid where a document's shingle is one of an item's,
-   at the place where the two shingles meet. No other window can reach the threshold with its words in the item's order.
+1. Moving a window right past a shingle that is not the item's never lowers the similarity: so the most similar window
+   starts with one of the item's shingles or ends the document, and only such windows are laid. The threshold asks for a
+   number of shared shingles; windows that hold fewer shingles of the benchmark are not laid either.
 2. Each window gets a SimHash of its shingles. Windows and items of equal length meet in multi-index blocks: among
    radius + 1 blocks of the bits, two fingerprints within the radius agree in one at least, so none within it is missed.
 3. What is within the radius is verified by the exact similarity.
@@ -83,7 +84,9 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     similarity: float = 0.8, shingle: int = 5, radius: int = 24,
 ) -> DataFrame:
-    """One row per leaking document and item: id, item_id, similarity (of the best window), start_word (the first such), hamming.
+    """One row per leaking document and item: id, item_id, similarity (of the best window), start_word, hamming.
+
+    Of equally similar windows, start_word is that of the first which starts with a shingle of the benchmark or ends the text.
 
     Null and empty texts leak nothing; items without words match nothing; an item of fewer words than a shingle is one
     shingle. Equal items each get their rows; documents repeated with the same id give one row. Rows with a null id or item id are
@@ -92,13 +95,14 @@ def leaks(
     chance below 1e-6. The benchmark is taken to fit a broadcast only after a count of its shingles; a larger one is joined.
     """
     items = staged(item_table(benchmark, item_col, item_text_col, shingle), "items")
-    sizes = items.agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("sh")).alias("shingles"), F.collect_set("k").alias("ks")).first()
+    sizes = items.agg(
+        F.count(F.lit(1)).alias("items"), F.sum(F.size("sh")).alias("shingles"), F.collect_set(F.struct("k", "n")).alias("lengths")
+    ).first()  # the lengths are bounded by that of the longest item
     out = None
     base = once(only(docs, __id=id_col, __text=text_col), "w", F.transform(words(F.col("__text")), lambda w: F.xxhash64(w))).select("__id", "w")
-    for k in sorted(sizes["ks"]):  # at most `shingle` sizes; one, if no item is that short
+    for k in sorted({x.k for x in sizes["lengths"]}):  # at most `shingle` sizes; one, if no item is that short
         hashed = once(base, "sh", shingle_hashes(F.col("w"), k)).select("__id", "sh")
-        own = items.filter(F.col("k") == k)
-        found = _windows(hashed, own, k, sizes["shingles"])
+        found = _windows(hashed, items.filter(F.col("k") == k), k, sorted(x.n for x in sizes["lengths"] if x.k == k), similarity, sizes["shingles"])
         out = found if out is None else out.union(found)
     if out is None:
         out = base.filter("false").select("__id", F.lit(0).alias("n"), F.lit(0).alias("start"), F.col("w").alias("sh"))
@@ -123,24 +127,31 @@ def leaks(
     )
 
 
-def _windows(hashed: DataFrame, items: DataFrame, k: int, shingles: int) -> DataFrame:
-    """__id, n, start, sh: the item-sized windows laid by shared shingles, each once."""
-    anchors = items.select("n", F.posexplode("sh").alias("off", "h")).select("h", "n", "off").distinct()
+def _windows(hashed: DataFrame, items: DataFrame, k: int, lengths: list[int], similarity: float, shingles: int) -> DataFrame:
+    """__id, n, start, sh: the windows, as long as some item, that can be the most similar ones; each once."""
+    span = lambda n: n - (k - 1)  # noqa: E731  shingles of n words
+    least = lambda n: F.greatest(F.lit(1), F.ceil(span(n) * (2 * similarity / (1 + similarity)) - 1e-9).cast("int"))  # noqa: E731  that must be shared
+    anchors = items.select("n", F.explode("sh").alias("h")).groupBy("h").agg(F.sort_array(F.collect_set("n")).alias("ns"))
     if shingles <= INLINE_SHINGLES:
-        known = [r.h for r in anchors.select("h").distinct().collect()]  # bounded by INLINE_SHINGLES
+        known = [r.h for r in anchors.select("h").collect()]  # bounded by INLINE_SHINGLES
         place = F.filter(F.transform("sh", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())
         some = once(hashed, "places", place).filter(F.size("places") > 0)
-        # The items of one length: a window is laid once for each length and start, whatever the number of items.
-        spots = some.select("__id", "sh", F.explode("places").alias("pos")).withColumn("h", F.get("sh", F.col("pos")))
-        laid = spots.join(F.broadcast(anchors), "h").select("__id", "sh", "n", (F.col("pos") - F.col("off")).alias("start"))
-        laid = laid.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") - k < F.size("sh")))
-        return laid.select("__id", "n", "start", F.slice("sh", F.col("start") + 1, F.col("n") - (k - 1)).alias("sh")).distinct()
-    spots = hashed.select("__id", F.posexplode("sh").alias("pos", "h"))
-    laid = spots.join(anchors, "h").select("__id", "n", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0").distinct()
-    starts = laid.groupBy(F.col("__id").alias("__of")).agg(F.collect_set(F.struct("n", "start")).alias("s"))  # of one document
-    both = hashed.join(starts, F.col("__id").eqNullSafe(F.col("__of"))).select("__id", "sh", F.explode("s").alias("s"))
-    both = both.filter(F.col("s.start") + F.col("s.n") - k < F.size("sh"))
-    return both.select("__id", F.col("s.n").alias("n"), F.col("s.start").alias("start"), F.slice("sh", F.col("s.start") + 1, F.col("s.n") - (k - 1)).alias("sh")).distinct()
+    else:
+        hits = hashed.select("__id", F.posexplode("sh").alias("pos", "h")).join(anchors.select("h"), "h")
+        places = hits.groupBy(F.col("__id").alias("__of")).agg(F.array_sort(F.collect_set("pos")).alias("places"))  # of one document
+        some = hashed.join(places, F.col("__id").eqNullSafe(F.col("__of"))).select("__id", "sh", "places")
+    longest = span(max(lengths))
+    # A row for each place holds what follows it, no more than the longest item has.
+    spots = some.select("__id", "sh", "places", F.posexplode("places").alias("i", "pos")).select(
+        "__id", "pos", F.get("sh", F.col("pos")).alias("h"), F.slice("sh", F.col("pos") + 1, longest).alias("sh"), F.slice("places", F.col("i") + 1, longest).alias("next")
+    )
+    by_place = spots.join(F.broadcast(anchors) if shingles <= INLINE_SHINGLES else anchors, "h").select("__id", "pos", "sh", "next", F.explode("ns").alias("n"))
+    fits = (F.size("sh") >= span(F.col("n"))) & (F.get("next", least(F.col("n")) - 1) < F.col("pos") + span(F.col("n")))
+    laid = by_place.filter(fits).select("__id", "n", F.col("pos").alias("start"), F.slice("sh", 1, span(F.col("n"))).alias("sh"))
+    size = F.size("sh")
+    last = F.filter(F.array(*map(F.lit, lengths)), lambda n: (size >= span(n)) & (F.size("places") >= least(n)) & (F.get("places", F.size("places") - least(n)) >= size - span(n)))
+    ends = some.select("__id", "sh", F.explode(last).alias("n")).select("__id", "n", (size - span(F.col("n"))).alias("start"), "sh")
+    return laid.union(ends.select("__id", "n", "start", F.slice("sh", F.col("start") + 1, span(F.col("n"))))).distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -61,13 +61,25 @@ def test_against_brute_force(spark, monkeypatch):
     for inline in (60_000, 0):
         monkeypatch.setattr(decontaminate, "INLINE_SHINGLES", inline)
         got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in leaks(a, b).collect()}
-        # Equally similar windows at places where no shingles meet aren't laid: the place may come later, never the similarity.
+        # Equally similar windows that don't start with a shingle of the benchmark aren't laid: the place may come later, never the similarity.
         assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(got[k][1] >= want[k][1] for k in want)
     assert leaks(a.limit(0), b).count() == 0 and leaks(a, b.limit(0)).count() == 0
     left = {r.doc_id for r in clean(a, b).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_most_similar_window_between_two_edits(spark, monkeypatch):
+    """First and last word changed, two words put in: no shingle of the best window stands where the item has it, counted from its start."""
+    w = [f"w{k}" for k in range(60)]
+    docs = [(1, " ".join(["x", *w[1:30], "in", "in2", *w[30:59], "y", "z"])), (2, " ".join([*w[4:30], "in", *w[30:]])), (3, " ".join(["a", *w[:20], "b", *w[20:40], "c", *w[40:]]))]
+    a, b = frames(spark, docs, [(7, " ".join(w)), (8, " ".join(w[:30])), (9, " ".join(w[10:40]))])
+    want = brute(docs, [(7, " ".join(w)), (8, " ".join(w[:30])), (9, " ".join(w[10:40]))])
+    assert (1, 7) in want and want[1, 7][1] == 1
+    for inline in (60_000, 0):
+        monkeypatch.setattr(decontaminate, "INLINE_SHINGLES", inline)
+        assert {(r.doc_id, r.item_id): r.similarity for r in leaks(a, b).collect()} == {k: v[0] for k, v in want.items()}
+
+
 def test_simhash_and_blocks(spark):
     rng = random.Random(12)
     rows = [([rng.getrandbits(63) - rng.getrandbits(63) for _ in range(rng.randint(0, 9))],) for _ in range(50)]
