@@ -119,7 +119,7 @@ def leaks(
         lambda a, h: a + F.least(F.size(F.filter("win", lambda x: x == h)), F.size(F.filter("sh", lambda x: x == h))),
     )
     all_of = F.size("win") + F.size("sh")
-    near = met.filter(F.col("key") == first).withColumn("same", same).withColumn("sim", F.col("same") / (all_of - F.col("same"))).filter(F.col("sim") >= similarity)
+    near = once(met.filter(F.col("key") == first), "same", same).withColumn("sim", F.col("same") / (all_of - F.col("same"))).filter(F.col("sim") >= similarity)
     best = near.groupBy("__id", "item_id").agg(F.max(F.struct("sim", (-F.col("start")).alias("s"), (-distance).alias("d"))).alias("m"))
     return best.select(
         F.col("__id").alias(id_col), F.col("item_id").alias(item_col), F.round("m.sim", 6).alias("similarity"), (-F.col("m.s")).cast("bigint").alias("start_word"),
@@ -140,18 +140,22 @@ def _windows(hashed: DataFrame, items: DataFrame, k: int, lengths: list[int], si
         hits = hashed.select("__id", F.posexplode("sh").alias("pos", "h")).join(anchors.select("h"), "h")
         places = hits.groupBy(F.col("__id").alias("__of")).agg(F.array_sort(F.collect_set("pos")).alias("places"))  # of one document
         some = hashed.join(places, F.col("__id").eqNullSafe(F.col("__of"))).select("__id", "sh", "places")
-    longest = span(max(lengths))
-    # A row for each place holds what follows it, no more than the longest item has.
-    spots = some.select("__id", "sh", "places", F.posexplode("places").alias("i", "pos")).select(
-        "__id", "pos", F.get("sh", F.col("pos")).alias("h"), F.slice("sh", F.col("pos") + 1, longest).alias("sh"), F.slice("places", F.col("i") + 1, longest).alias("next")
-    )
-    by_place = spots.join(F.broadcast(anchors) if shingles <= INLINE_SHINGLES else anchors, "h").select("__id", "pos", "sh", "next", F.explode("ns").alias("n"))
-    fits = (F.size("sh") >= span(F.col("n"))) & (F.get("next", least(F.col("n")) - 1) < F.col("pos") + span(F.col("n")))
-    laid = by_place.filter(fits).select("__id", "n", F.col("pos").alias("start"), F.slice("sh", 1, span(F.col("n"))).alias("sh"))
-    size = F.size("sh")
+    longest, size = span(max(lengths)), F.size("sh")
     last = F.filter(F.array(*map(F.lit, lengths)), lambda n: (size >= span(n)) & (F.size("places") >= least(n)) & (F.get("places", F.size("places") - least(n)) >= size - span(n)))
-    ends = some.select("__id", "sh", F.explode(last).alias("n")).select("__id", "n", (size - span(F.col("n"))).alias("start"), "sh")
-    return laid.union(ends.select("__id", "n", "start", F.slice("sh", F.col("start") + 1, span(F.col("n"))))).distinct()
+    # (place, its number, null), and (start, null, length) for each window that ends the document.
+    null = F.lit(None).cast("int")
+    begins = F.transform("places", lambda p, i: F.struct(p.alias("pos"), i.alias("i"), null.alias("n")))
+    spots = some.select("__id", "sh", "places", F.explode(F.concat(begins, F.transform(last, lambda n: F.struct((size - span(n)).alias("pos"), null.alias("i"), n.alias("n"))))).alias("at"))
+    # A row for each spot holds what follows it, no more than the longest item has.
+    spots = spots.select(
+        "__id", F.col("at.pos").alias("start"), F.col("at.n").alias("own"), F.when(F.col("at.n").isNull(), F.get("sh", F.col("at.pos"))).alias("h"),
+        F.slice("sh", F.col("at.pos") + 1, longest).alias("sh"), F.when(F.col("at.n").isNull(), F.slice("places", F.col("at.i") + 1, longest)).alias("next"),
+    )
+    by_length = spots.join(F.broadcast(anchors) if shingles <= INLINE_SHINGLES else anchors, "h", "left").select(
+        "__id", "start", "own", "sh", "next", F.explode(F.when(F.col("own").isNull(), F.col("ns")).otherwise(F.array("own"))).alias("n")
+    )
+    fits = (F.size("sh") >= span(F.col("n"))) & (F.get("next", least(F.col("n")) - 1) < F.col("start") + span(F.col("n")))
+    return by_length.filter(F.col("own").isNotNull() | fits).select("__id", "n", "start", F.slice("sh", 1, span(F.col("n"))).alias("sh")).distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
