@@ -67,7 +67,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int =
     keyed = first.withColumn("__ls_k", F.when(answered, F.lit(None)).otherwise(F.col(key))).withColumn(
         "__ls_s", F.when(answered, F.pmod(F.xxhash64(salt or left.columns[0]), F.lit(1_000_003)).cast("int")).otherwise(F.lit(0))
     )
-    rest = packed.select(F.col(key).alias("__ls_rk"), F.lit(0).alias("__ls_rs"), F.col("__ls_v").alias("__ls_rv"))
+    # 0, but not a constant: the optimizer would drop a constant from the join's keys, and the answered rows would meet under the null key.
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    rest = packed.select(F.col(key).alias("__ls_rk"), zero.alias("__ls_rs"), F.col("__ls_v").alias("__ls_rv"))
     joined = keyed.join(rest, (F.col("__ls_k") == F.col("__ls_rk")) & (F.col("__ls_s") == F.col("__ls_rs")), "left")
     value = F.coalesce(F.col("__ls_hv"), F.col("__ls_rv"))
     return joined.select(*left.columns, *(value[c].alias(c) for c in values))
