@@ -1,11 +1,11 @@
 """Main-text extraction: a template of equivalence classes is deduced for each host and what remains in its slots is read.
 
 Tokens are the element paths of a page and its text blocks under their paths. Tokens of a host with the same occurrence
-vector over its pages (how often on which page) form an equivalence class; a class is valid if it is large enough in pages,
-and valid classes nest by their paths into the host's template. A text block whose vector lies in the class that occurs
-alike on every page is template text; the blocks that differ are the slots. Slots whose path names a menu, header, footer,
-sidebar, notice, advert, form, script or reader comment are not main text. A page that marks its article (article, main or
-role=main) is read there only, and nothing inside that the path allows is dropped as template text.
+vector over its pages (how often on which page) form an equivalence class; a class is valid if it stands on a share of the
+host's pages, and a valid class nests by its paths: the text of a class is template text if it stands on most of the pages
+that have its path, so a template of one section, or one that an odd page lacks, is found as well. The blocks that differ
+are the slots. Slots whose path names a menu, header, footer, sidebar, notice, advert, form, script or reader comment are
+not main text. A page that marks its article (article, main or role=main) is read there only, without its template text.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from lumensift.llm.common import lookup, only, staged
 from lumensift.llm.token_counts import _arrow
 
-#: A host's template is deduced from at least so many different pages.
-LEAST_PAGES = 3
+#: A class of a host's template stands on at least so many different pages, and on this share of the host's different pages.
+LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: A text nests in the template if it stands on more than this share of the pages that have its path.
+OF_PATH = 0.5
 
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -43,6 +45,7 @@ _NOT_MAIN_WORD = re.compile(
 )
 _NOT_MAIN_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TAG_END = re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>""")
 
@@ -118,7 +121,8 @@ def _not_main(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool,
         "hidden" in a or a.get("role") in _NOT_MAIN_ROLE or "display:none" in a.get("style", "").replace(" ", "")
         or (tag not in ("html", "body", "main") and bool(_NOT_MAIN_WORD.search(mark)))
     )
-    return out, tag in ("article", "main") or a.get("role") == "main", tag + ("." + ".".join(sorted(mark.split())[:4]) if mark else "")
+    # Numbers tell pages apart (post-17), not places in the template.
+    return out, tag in ("article", "main") or a.get("role") == "main", tag + ("." + ".".join(sorted(_DIGITS.sub("0", mark).split())[:4]) if mark else "")
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -180,8 +184,8 @@ def host_of(url: str | None) -> str | None:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, page, token, is_text, n: the paths of each page's blocks, and its blocks outside any marked article."""
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("is_text", pa.bool_()), ("n", pa.int64())])
+    """host, page, token, path, n: the paths of each page's blocks (path null), and its blocks with their paths."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("path", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,17 +198,18 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 whole = _hash(*(b.text for b in found))  # equal pages count once
                 own: dict[tuple, int] = {}
                 for b in found:
-                    own[_hash(b.path), False] = own.get((_hash(b.path), False), 0) + 1
-                    if not b.main:
-                        own[_hash(b.path, b.text), True] = own.get((_hash(b.path, b.text), True), 0) + 1
-                rows |= {(host, whole, token, is_text): n for (token, is_text), n in own.items()}
+                    path = _hash(b.path)
+                    own[path, None] = own.get((path, None), 0) + 1
+                    text = _hash(b.path, b.text)
+                    own[text, path] = own.get((text, path), 0) + 1
+                rows |= {(host, whole, token, path): n for (token, path), n in own.items()}
                 if len(rows) > 20_000:
                     yield _batch(rows, schema)
                     rows = {}
             if rows:
                 yield _batch(rows, schema)
 
-    return pages.select("__url", "__html").mapInArrow(run, "host string, page bigint, token bigint, is_text boolean, n bigint")
+    return pages.select("__url", "__html").mapInArrow(run, "host string, page bigint, token bigint, path bigint, n bigint")
 
 
 def _batch(rows: dict[tuple, int], schema: pa.Schema) -> pa.RecordBatch:
@@ -212,30 +217,31 @@ def _batch(rows: dict[tuple, int], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), type=t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
 
-def deduce_templates(tokens: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, class_id, tokens, texts, pages, everywhere: the valid equivalence classes of each host, the largest support first.
+def deduce_templates(tokens: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, of_path: float = OF_PATH) -> DataFrame:
+    """host, class_id, pages, texts: the valid equivalence classes of each host that hold template text.
 
     A token's occurrence vector is summed up in an order-free hash of (page, count), with its number of pages; equal
-    vectors are equal hashes. A class is valid if its tokens occur on least_pages different pages or more; the class that
-    is everywhere is the template's root, the others nest below it by their elements' paths. texts (bounded by what one
-    page holds, as each of them is on every page) is filled for the root only.
+    vectors are equal hashes. A class is valid if its tokens occur on least_pages different pages and on least_share of
+    the host's. It nests under its elements' paths, which stand wherever its texts do; its texts on more than of_path of
+    their path's pages are template text, the others fill slots. All texts of a host's classes together are at most
+    1 / least_share times what one page holds.
     """
-    unique = tokens.dropDuplicates(["host", "page", "token", "is_text"])
-    vectors = unique.groupBy("host", "token", "is_text").agg(F.bit_xor(F.xxhash64("page", "n")).alias("v"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"))
+    unique = tokens.dropDuplicates(["host", "page", "token", "path"])
+    vectors = unique.groupBy("host", "token", "path").agg(F.bit_xor(F.xxhash64("page", "n")).alias("v"), F.count(F.lit(1)).alias("pages"))
     # A host's number of different pages: each has a token, so the largest support bounds it from below, a distinct count is exact.
     sizes = unique.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    valid = vectors.filter(F.col("pages") >= least_pages).join(sizes, "host")
-    return valid.groupBy("host", "v", "pages", "host_pages").agg(
-        F.count(F.lit(1)).alias("tokens"),
-        F.collect_list(F.when(F.col("is_text") & (F.col("pages") == F.col("host_pages")), F.col("token"))).alias("texts"),
-    ).select("host", F.col("v").alias("class_id"), "tokens", "texts", "pages", (F.col("pages") == F.col("host_pages")).alias("everywhere"))
+    valid = vectors.filter(F.col("pages") >= least_pages).join(sizes, "host").filter(F.col("pages") >= F.col("host_pages") * least_share)
+    paths = valid.filter("path is null").select("host", F.col("token").alias("path"), F.col("pages").alias("path_pages"))
+    nested = valid.filter("path is not null").join(paths, ["host", "path"]).filter(F.col("pages") > F.col("path_pages") * of_path)
+    return nested.groupBy("host", F.col("v").alias("class_id"), "pages").agg(F.collect_list("token").alias("texts"))
 
 
 def main_text(found: list[Block], template: set[int] = frozenset()) -> str:
-    """The marked article's blocks, if there are any; else all that neither their path nor the host's template rules out."""
-    if any(b.main and not b.dropped for b in found):
-        return "\n\n".join(b.text for b in found if b.main and not b.dropped)
-    return "\n\n".join(b.text for b in found if not b.dropped and _hash(b.path, b.text) not in template)
+    """The marked article's blocks, if there are any, else all; without what their path or the host's template rules out."""
+    read = [b for b in found if not b.dropped]
+    if any(b.main for b in read):
+        read = [b for b in read if b.main]
+    return "\n\n".join(b.text for b in read if not template or _hash(b.path, b.text) not in template)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -248,8 +254,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     pages = only(df, __id=id_col, __url=url_col, __html=html_col)
     id_type = df.schema[id_col].dataType
     classes = deduce_templates(page_tokens(pages), least_pages)
-    root = classes.filter("everywhere").select("host", "texts", F.size("texts").alias("n")).filter("n > 0").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
-    templates = staged(root, "templates")
+    templates = staged(classes.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts")), "templates")
     ddl = f"__id {id_type.simpleString()}, __url string, text string, n_chars bigint"
     schema = pa.schema([("i", _arrow(id_type)), ("u", pa.string()), ("t", pa.string()), ("n", pa.int64())])
 
@@ -264,7 +269,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
 
-    if templates.limit(1).count() == 0:  # no host has template text outside its articles: there is nothing to join
+    if templates.limit(1).count() == 0:  # no host has template text: there is nothing to join
         ready = pages.withColumn("texts", F.lit(None).cast("array<bigint>"))
     else:
         hosted = pages.withColumn("host", F.nullif(F.lower(F.regexp_extract("__url", HOST, 1)), F.lit("")))

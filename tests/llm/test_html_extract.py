@@ -61,3 +61,16 @@ def test_driver_pages_against_a_regex_reader(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", article)]
         assert r.text == "\n\n".join(x for x in want if x) and r.n_chars == len(r.text)
+
+
+def test_template_that_some_pages_lack(spark):
+    """One odd page, a section's own template, and repeated blocks inside a marked article."""
+    rows = [(k, f"http://s.example.org/{k}", soup(k)) for k in range(20)] + [(99, "http://s.example.org/404", "<html><body><p>Gone away</p></body></html>")]
+    section = lambda k: "<div id=lane><p>News desk</p></div>" if k < 6 else ""
+    rows += [(200 + k, f"http://n.example.org/{k}", f"<body>{section(k)}<div id=post-{k}><p>Story {k % 19} told</p><p>Part {k}</p></div></body>") for k in range(20)]
+    rows += [(300 + k, f"http://a.example.org/{k}", f"<body><article><p>Tale {k}</p><div>Buy our mugs</div></article></body>") for k in range(12)]
+    rows += [(400, "http://a.example.org/x", "<body><article><p>Buy our mugs</p></article></body>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[k] for k in range(20)] == [f"Article number {k} of many\n\nMore of {k * 7}" for k in range(20)] and got[99] == "Gone away"
+    assert [got[200 + k] for k in range(20)] == [f"Story {k % 19} told\n\nPart {k}" for k in range(20)]
+    assert [got[300 + k] for k in range(12)] == [f"Tale {k}" for k in range(12)] and got[400] == "Buy our mugs"
