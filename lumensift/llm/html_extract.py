@@ -6,6 +6,9 @@ host's pages, and a valid class nests by its paths: the text of a class is templ
 that have its path, so a template of one section, or one that an odd page lacks, is found as well. The blocks that differ
 are the slots. Slots whose path names a menu, header, footer, sidebar, notice, advert, form, script or reader comment are
 not main text. A page that marks its article (article, main or role=main) is read there only, without its template text.
+A name that speaks against an element above the marked article may be a layout's (search-results, overlay-wrap): it rules
+the article out only if the page has another one under fewer such names. Without an article, what lies under such names is
+read if nothing but template text lies outside them.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ _NOT_MAIN_WORD = re.compile(
     r"ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|notices?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|"
     r"shar(?:e|ing)|social|comments?|commentlist|disqus|respond|repl(?:y|ies)|pagination|pager|toolbar|skip-link|skip|hidden|sr-only|forms?|search|tagcloud|byline-ads)(?=$|[\s_-]|\d)"
 )
+#: Classes that say what a page has, how a box is clipped or where a post is filed, not what an element is.
+_STATE = re.compile(r"(?:has|no|not|with|without|overflow|hide|show|enabled?|disabled?|category|tag|format)[_-]")
 _NOT_MAIN_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _DIGITS = re.compile(r"\d+")
@@ -56,6 +61,7 @@ class Block:
     text: str
     main: bool
     dropped: bool
+    wraps: int  # elements above, outside any article, whose name speaks against main text
 
 
 def _events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -109,34 +115,32 @@ def _events(page: str) -> Iterator[tuple[str, str, str]]:
         at = end
 
 
-def _not_main(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
-    """Whether the element is not main text, whether it marks the article, and its name in paths."""
+def _not_main(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool, str]:
+    """Whether the element is not main text, whether its name speaks against it, whether it marks the article, and its name in paths."""
     if tag in _NOT_MAIN or (tag == "header" and not in_article):
-        return True, False, tag
+        return True, False, False, tag
     if not attributes.strip(" /"):
-        return False, tag in ("article", "main"), tag
+        return False, False, tag in ("article", "main"), tag
     a = {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attributes)}
     mark = " ".join(x for x in (a.get("id", ""), a.get("class", "")) if x)
-    out = (
-        "hidden" in a or a.get("role") in _NOT_MAIN_ROLE or "display:none" in a.get("style", "").replace(" ", "")
-        or (tag not in ("html", "body", "main") and bool(_NOT_MAIN_WORD.search(mark)))
-    )
+    out = "hidden" in a or a.get("role") in _NOT_MAIN_ROLE or "display:none" in a.get("style", "").replace(" ", "")
+    against = tag not in ("html", "body", "main") and a.get("role") != "main" and any(_NOT_MAIN_WORD.search(x) for x in mark.split() if not _STATE.match(x))
     # Numbers tell pages apart (post-17), not places in the template.
-    return out, tag in ("article", "main") or a.get("role") == "main", tag + ("." + ".".join(sorted(_DIGITS.sub("0", mark).split())[:4]) if mark else "")
+    return out, against, tag in ("article", "main") or a.get("role") == "main", tag + ("." + ".".join(sorted(_DIGITS.sub("0", mark).split())[:4]) if mark else "")
 
 
 def blocks(page: str | None) -> list[Block]:
     """The non-empty text blocks of a page, in order. White space runs are one space, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, not main here or above, article here or above, path
+    stack: list[tuple[str, bool, bool, str, int]] = []  # tag, not main here or above, article here or above, path, names against it above the article
     parts: list[str] = []
 
     def flush() -> None:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                _, dropped, main, path = stack[-1] if stack else ("", False, False, "")
-                out.append(Block(path, text, main, dropped))
+                _, dropped, main, path, wraps = stack[-1] if stack else ("", False, False, "", 0)
+                out.append(Block(path, text, main, dropped, wraps))
             parts.clear()
 
     for kind, data, attributes in _events(page or ""):
@@ -152,14 +156,19 @@ def blocks(page: str | None) -> list[Block]:
                 if stack and stack[-1][0] == data and data in ("li", "dd", "dt", "td", "th", "tr", "option", "p"):
                     stack.pop()
             if data not in _VOID:
-                _, dropped, main, path = stack[-1] if stack else ("", False, False, "")
-                bad, is_main, name = _not_main(data, attributes, main)
+                _, dropped, main, path, wraps = stack[-1] if stack else ("", False, False, "", 0)
+                bad, against, is_main, name = _not_main(data, attributes, main)
+                if against:
+                    if main or is_main or data not in _BLOCK:
+                        bad = True
+                    else:
+                        wraps += 1
                 if data in _BLOCK or bad:
                     if bad and data not in _BLOCK:
                         flush()
                     if not attributes.endswith("/") or data in _BLOCK:
                         # A path is carried as a hash, so that deep nesting stays cheap.
-                        stack.append((data, dropped or bad, main or is_main, xxhash.xxh64_hexdigest(f"{path}/{name}")))
+                        stack.append((data, dropped or bad, main or is_main, xxhash.xxh64_hexdigest(f"{path}/{name}"), wraps))
         else:
             if data in _BLOCK or any(s[0] == data for s in stack):
                 flush()
@@ -195,7 +204,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 if host is None:
                     continue
                 found = [b for b in blocks(page) if not b.dropped]
-                whole = _hash(*(b.text for b in found))  # equal pages count once
+                whole = _hash(main_text(found))  # pages that read alike count once, whatever advert or comment stands beside
                 own: dict[tuple, int] = {}
                 for b in found:
                     path = _hash(b.path)
@@ -241,7 +250,12 @@ def main_text(found: list[Block], template: set[int] = frozenset()) -> str:
     read = [b for b in found if not b.dropped]
     if any(b.main for b in read):
         read = [b for b in read if b.main]
-    return "\n\n".join(b.text for b in read if not template or _hash(b.path, b.text) not in template)
+        least = min(b.wraps for b in read)
+        read = [b for b in read if b.wraps == least]
+    if template:
+        read = [b for b in read if _hash(b.path, b.text) not in template]
+    least = min((b.wraps for b in read), default=0)
+    return "\n\n".join(b.text for b in read if b.wraps == least)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:

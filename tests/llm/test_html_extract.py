@@ -74,3 +74,14 @@ def test_template_that_some_pages_lack(spark):
     assert [got[k] for k in range(20)] == [f"Article number {k} of many\n\nMore of {k * 7}" for k in range(20)] and got[99] == "Gone away"
     assert [got[200 + k] for k in range(20)] == [f"Story {k % 19} told\n\nPart {k}" for k in range(20)]
     assert [got[300 + k] for k in range(12)] == [f"Tale {k}" for k in range(12)] and got[400] == "Buy our mugs"
+
+
+def test_names_of_wrappers():
+    for name in ("layout has-sidebar", "no-sidebar", "overflow-hidden", "with-comments", "search-results", "overlay-wrap form"):
+        page = f'<div class="{name}"><article><p>Story</p><div class=share-buttons>tweet</div></article><div id=comments><article><p>first!</p></article></div></div><p>after</p>'
+        assert read(page) == "Story", name
+    assert read('<article class="post category-social"><p>a</p></article><p>b</p>') == "a"
+    assert read('<div id=comments><article><p>first!</p></article></div><article><p>a</p></article>') == "a"
+    assert read('<article><p>a</p><section id=comments><article><p>first!</p></article></section></article>') == "a"
+    assert read('<nav class=no-sidebar>n</nav><div class="search-results"><p>a</p><div class=comments>c</div></div>') == "a"
+    assert read('<p>a</p><div class=sidebar>s</div><div class=visually-hidden>v</div>') == "a"
