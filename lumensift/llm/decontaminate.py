@@ -1,7 +1,8 @@
 """Benchmark decontamination with SimHash windows, multi-index Hamming blocks and exact similarity. DataFrame functions only.
 
 A window of a document, as long as an item in words, leaks the item if the weighted Jaccard similarity of their word
-shingles (each weighted by how often it occurs) is at least the threshold.
+shingles (each weighted by how often it occurs) is at least the threshold. A document shorter than the item is its own
+only window for it.
 
 1. Moving a window right past a shingle that is not the item's never lowers the similarity: so the most similar window
    starts with one of the item's shingles or ends the document, and only such windows are laid. The threshold asks for a
@@ -141,11 +142,18 @@ def _windows(hashed: DataFrame, items: DataFrame, k: int, lengths: list[int], si
         places = hits.groupBy(F.col("__id").alias("__of")).agg(F.array_sort(F.collect_set("pos")).alias("places"))  # of one document
         some = hashed.join(places, F.col("__id").eqNullSafe(F.col("__of"))).select("__id", "sh", "places")
     longest, size = span(max(lengths)), F.size("sh")
-    last = F.filter(F.array(*map(F.lit, lengths)), lambda n: (size >= span(n)) & (F.size("places") >= least(n)) & (F.get("places", F.size("places") - least(n)) >= size - span(n)))
+    # A document shorter than n starts its window at 0, and can share enough only if it has at least similarity x span(n) shingles.
+    enough = lambda n: size >= F.ceil(span(n) * similarity - 1e-9)
+    starts = lambda n: F.greatest(F.lit(0), size - span(n))
+    last = F.filter(
+        F.array(*map(F.lit, lengths)),
+        lambda n: F.when(size >= span(n), (F.size("places") >= least(n)) & (F.get("places", F.size("places") - least(n)) >= starts(n)))
+        .otherwise(enough(n) & (F.size("places") >= F.ceil((size + span(n)) * (similarity / (1 + similarity)) - 1e-9))),
+    )
     # (place, its number, null), and (start, null, length) for each window that ends the document.
     null = F.lit(None).cast("int")
     begins = F.transform("places", lambda p, i: F.struct(p.alias("pos"), i.alias("i"), null.alias("n")))
-    spots = some.select("__id", "sh", "places", F.explode(F.concat(begins, F.transform(last, lambda n: F.struct((size - span(n)).alias("pos"), null.alias("i"), n.alias("n"))))).alias("at"))
+    spots = some.select("__id", "sh", "places", F.explode(F.concat(begins, F.transform(last, lambda n: F.struct(starts(n).alias("pos"), null.alias("i"), n.alias("n"))))).alias("at"))
     # A row for each spot holds what follows it, no more than the longest item has.
     spots = spots.select(
         "__id", F.col("at.pos").alias("start"), F.col("at.n").alias("own"), F.when(F.col("at.n").isNull(), F.get("sh", F.col("at.pos"))).alias("h"),

@@ -93,3 +93,27 @@ def test_simhash_and_blocks(spark):
             back |= (x // 64) << at
             at += width
         assert at == 64 and back == want
+
+
+def test_documents_shorter_than_an_item(spark, monkeypatch):
+    """A document that is an item without its first or last words is compared as a whole."""
+    w = [f"w{k}" for k in range(50)]
+    docs = [(1, " ".join(w[:49])), (2, " ".join(w[1:])), (3, " ".join(w[3:46])), (4, " ".join(w[:37])), (5, " ".join(["x", *w[2:47]])), (6, " ".join(w[:2])), (7, " ".join(w))]
+    items = [(7, " ".join(w)), (8, "tiny item here now"), (9, " ".join(w[:20])), (10, " ".join([*w[:45], "y"]))]
+    want = {}
+    for d, text in docs:
+        for i, t in items:
+            q, v = t.split(), text.split()
+            k = min(5, len(q))
+            for s in range(max(1, len(v) - len(q) + 1)):
+                a, b = Counter(shingles(q, k)), Counter(shingles(v[s : s + len(q)], k))
+                sim = sum((a & b).values()) / sum((a | b).values())
+                if sim >= 0.8:
+                    want[d, i] = max(want.get((d, i), 0), round(sim, 6))
+    assert want[1, 7] == round(45 / 46, 6) and {(2, 7), (3, 7)} <= set(want) and (4, 7) not in want
+    a, b = frames(spark, docs, items)
+    for inline in (60_000, 0):
+        monkeypatch.setattr(decontaminate, "INLINE_SHINGLES", inline)
+        got = leaks(a, b).collect()
+        assert {(r.doc_id, r.item_id): r.similarity for r in got} == want and len(got) == len(want)
+        assert all(r.start_word == 0 for r in got if (r.doc_id, r.item_id) == (1, 7))
