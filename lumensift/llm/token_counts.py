@@ -1,8 +1,9 @@
 """Token counts without tokens: Viterbi over unigram vocabulary matches, carrying only the best score and the piece count.
 
-The vocabulary and its scores are read from a SentencePiece model file. A text is cut into words at U+0020, each word
-starting with the word mark; no piece crosses a word, so the best segmentation of a text is that of its words. In a word
-an Aho-Corasick automaton lists the pieces that end at each place, longest first; a candidate replaces the best one only
+The vocabulary and its scores are read from a SentencePiece model file. Each U+0020 is a word mark, and a text starts with
+one. A text is cut into words where a mark follows another character, so a run of marks stays with the word after it; if
+the vocabulary has no piece with a mark after another character, no piece crosses a cut and the best segmentation of a text
+is that of its words; with another vocabulary texts are not cut. In a word an Aho-Corasick automaton lists the pieces that end at each place, longest first; a candidate replaces the best one only
 if its score is higher, so among equal scores the longest last piece wins, as in the public unigram tokenizers. Where no
 piece of one character matches, that character is unknown at the lowest score less 10, and counts as one piece for each of
 its UTF-8 bytes if the vocabulary has byte pieces, else one.
@@ -10,6 +11,7 @@ its UTF-8 bytes if the vocabulary has byte pieces, else one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -92,13 +94,20 @@ def word_counter(v: Vocabulary) -> Callable[[str], tuple[int, int]]:
 def text_counter(v: Vocabulary) -> Callable[[str | None], tuple[int, int, int]]:
     """text -> (words, tokens, unknown characters). The counts of short words are remembered; the memory is emptied when full."""
     of_word, known = word_counter(v), {}
+    crossed = any(re.search(f"[^{MARK}]{MARK}", p) for p in v.pieces)
+    cut = re.compile(f"{MARK}+[^{MARK}]*").findall
 
     def count(text: str | None) -> tuple[int, int, int]:
         if not text:
             return 0, 0, 0
         tokens = strange = 0
         words = text.split(" ")
-        for w in words:
+        parts = words
+        if crossed:
+            parts = [text.replace(" ", MARK)]
+        elif text[0] == " " or "  " in text or MARK in text:  # marks that meet
+            parts = [p[1:] for p in cut(MARK + text.replace(" ", MARK))]
+        for w in parts:
             got = known.get(w)
             if got is None:
                 got = of_word(MARK + w)

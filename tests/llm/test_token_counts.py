@@ -60,3 +60,19 @@ def test_text_and_table(spark):
     got = sorted(map(tuple, count_tokens(df).collect()), key=str)
     assert got == sorted([(1, 3, 2, 2, 0), (1, 3, 2, 2, 0), (None, 0, 0, 0, 0), (3, 0, 0, 0, 0)], key=str)
     assert count_tokens(df.limit(0)).count() == 0
+
+
+def test_whole_texts_with_runs_of_spaces():
+    v = load_vocabulary(default_model())
+    vocab = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", v.lowest - 5) for b in range(256)] + list(v.pieces.items())
+    public = Unigram(vocab, unk_id=0, byte_fallback=True)
+    ours = text_counter(Vocabulary(v.pieces, v.lowest - 5, True))
+    rng = random.Random(3)
+    texts = ["a    b", "a  b", "  a", "a   ", " ", " " * 40, "def f():\n        return 1\n\n    x", f"a{MARK}  {MARK}b", "the  quick brown fox " * 30]
+    texts += ["".join(rng.choice(["a", "the", "é", "\n", " ", "  ", "    ", " " * 9, MARK]) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    for t in texts:
+        assert ours(t)[1] == len(public.tokenize(MARK + t.replace(" ", MARK))), t
+    assert text_counter(v)("a    b")[:2] == (5, 3)
+    # Pieces that cross a word, in a made vocabulary.
+    made = Vocabulary({MARK: -3.0, "a": -3.0, "b": -3.0, f"a{MARK}b": -1.0, f"{MARK}a": -2.0}, -3.0, False)
+    assert text_counter(made)("a b")[:2] == (2, 2)
