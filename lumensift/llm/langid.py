@@ -62,19 +62,30 @@ def trigrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside].astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
 
 
-def train(df: DataFrame, text_col: str, label_col: str, id_col: str, languages: Sequence[str] | None = None, rows: int = 20_000, alpha: float = 0.05, most_languages: int = 64) -> Model:
-    """Fits the trigram model on about `rows` labelled rows, drawn by a hash of the id; trigrams are counted on the executors.
+def train(df: DataFrame, text_col: str, label_col: str, id_col: str, languages: Sequence[str] | None = None, rows: int = 20_000, alpha: float = 0.05, most_languages: int = 64, least_grams: int = 1000) -> Model:
+    """Fits the trigram model on about `rows` labelled rows, drawn label by label by a hash of the id; trigrams are counted on the executors.
 
+    No label gives more rows than it takes for all to give `rows`, so a rare one gives all it has. Labels whose sample has
+    fewer than least_grams trigrams are left out, if any has more. Each language is smoothed, by alpha x BUCKETS trigrams,
+    towards all of them together, so what no language has seen is as unlikely under a rare label as under a common one.
     The driver receives at most languages x BUCKETS sums. Without a list, the most_languages commonest labels are learnt;
     where no row is labelled, the model has one language, UNKNOWN, under which all trigrams are alike.
     """
     labelled = only(df, __id=id_col, __text=text_col, label=label_col).filter("label is not null and __text is not null")
+    counts = labelled.groupBy("label").count()
     if languages is None:
-        languages = [r.label for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_languages).collect()]
-    languages = tuple(sorted(languages)) or (UNKNOWN,)
-    known = labelled.filter(F.col("label").isin(list(languages)))
-    share = min(1.0, rows / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+        counts = counts.orderBy(F.desc("count"), "label").limit(most_languages)
+    else:
+        counts = counts.filter(F.col("label").isin(list(languages)))
+    sizes = {r.label: r["count"] for r in counts.collect()}
+    languages = tuple(sorted(sizes if languages is None else languages)) or (UNKNOWN,)
+    most = _level(list(sizes.values()), rows)
+    shares = {label: min(1.0, most / n) for label, n in sizes.items()}
+    drawn = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1_000_000_000))
+    limit = F.lit(None).cast("int")
+    for label, share in shares.items():
+        limit = F.when(F.col("label") == label, F.lit(int(share * 1_000_000_000))).otherwise(limit)
+    sample = labelled.filter(drawn < limit)
     schema = pa.schema([("label", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +104,21 @@ def train(df: DataFrame, text_col: str, label_col: str, id_col: str, languages:
     index = {language: k for k, language in enumerate(languages)}
     for label, bucket, k in zip(*(counted.column(c).to_pylist() for c in range(3)), strict=True):
         n[index[label], bucket] = k
-    return Model(languages, np.log((n + alpha) / (n.sum(axis=1, keepdims=True) + alpha * BUCKETS)).astype(np.float32))
+    enough = n.sum(axis=1) >= least_grams
+    if enough.any():
+        languages, n = tuple(x for x, e in zip(languages, enough, strict=True) if e), n[enough]
+    common = (n.sum(axis=0) + alpha) / (n.sum() + alpha * BUCKETS)
+    return Model(languages, np.log((n + alpha * BUCKETS * common) / (n.sum(axis=1, keepdims=True) + alpha * BUCKETS)).astype(np.float32))
+
+
+def _level(sizes: Sequence[int], rows: int) -> float:
+    """The most that each may give so that together they give `rows`; the largest size if they have no more."""
+    left = float(rows)
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) >= left:
+            return left / (len(sizes) - k)
+        left -= size
+    return float(max(sizes, default=0))
 
 
 def text_evidence(df: DataFrame, model: Model, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -90,3 +90,20 @@ def test_no_labelled_row_leaves_one_unknown_language(spark):
         model = langid.train(rows, "text", "lang", "doc_id")
         assert model.languages == (langid.UNKNOWN,)
         assert [(r.lang, r.prob, r.kept) for r in langid.identify(rows, model, host=F.col("source"), declared=F.col("lang")).collect()] == [("und", 1.0, True)] * rows.count()
+
+
+def test_rare_labels_do_not_take_foreign_text(spark):
+    """Far more rows than are sampled; one label on a few rows, one on a single short row."""
+    df, schema = corpus(spark, 3000)
+    rare = "ja kaj estas la de en mi vi ne kiu por kun tio".split()
+    rng = random.Random(9)
+    rows = [(5000 + k, " ".join(rng.choice(rare) for _ in range(60)), "eo", "h9", None, None) for k in range(8)] + [(6000, "zz", "qq", "h9", None, None)]
+    table = df.union(spark.createDataFrame(rows, schema))
+    model = langid.train(table, "text", "lang", "doc_id", rows=300)
+    assert model.languages == ("de", "en", "eo", "fr")
+    foreign = [(7000 + k, "日本語の文章です。これは何語でしょうか。" * (k + 1), lang, "h9", None, None) for k, lang in enumerate(("eo", "qq", "en", None))]
+    tests = table.filter("doc_id < 200 or doc_id between 5000 and 5999").union(spark.createDataFrame(foreign, schema))
+    got = langid.identify(tests, model, host=F.col("source"), declared=F.col("lang")).collect()
+    assert not any(r.kept for r in got if r.doc_id >= 7000) and all(r.kept for r in got if r.doc_id < 7000)
+    assert all(r.text_lang == "eo" for r in got if 5000 <= r.doc_id < 6000)
+    assert langid._level([5, 100, 1000], 205) == 100 and langid._level([5, 6], 100) == 6 and langid._level([10, 10], 4) == 2
