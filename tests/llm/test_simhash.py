@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import types as T
 
 from lumensift.llm.components import connected_components
-from lumensift.llm.simhash import ball_links, fingerprinter, near_duplicates
+from lumensift.llm.simhash import ball_links, fingerprinter, keep_one, near_duplicates
 
 
 def brute_fp(text):
@@ -84,3 +84,9 @@ def test_long_chain_and_null_ids(spark):
     assert {r.component for r in connected_components(links).collect()} == {0}
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "q r s t u v w"), (4, "q r s t u v w")], "doc_id bigint, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in near_duplicates(df).collect()) == [("4", "4")] * 2 + [("None", "None")] * 2
+
+
+def test_keep_one_with_longer_shingles(spark):
+    """A text of fewer words than a shingle is one shingle."""
+    df = spark.createDataFrame([(1, "a b c d"), (2, "A B C D"), (3, "a b c e")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in keep_one(df, shingle=5).collect()) == [1, 3]
