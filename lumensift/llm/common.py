@@ -30,6 +30,30 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def row_key(df: DataFrame, id_col: str, text_col: str, nulls: str) -> Column:
+    """(where null ids go, id, hash of the text): tells rows apart whose ids are null or repeat. nulls, 'first' or 'last', orders null ids."""
+    i = df[f"`{id_col}`"]
+    return F.struct((i.isNotNull() if nulls == "first" else i.isNull()).alias("o"), i.alias("i"), F.xxhash64(F.coalesce(df[f"`{text_col}`"], F.lit(""))).alias("h"))
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df whose row_key is not in gone(i, h), with all their columns."""
+    h = F.xxhash64(F.coalesce(df[f"`{text_col}`"], F.lit("")))
+    dropped = gone.select(F.col("i").alias("__gone_i"), F.col("h").alias("__gone_h")).distinct()
+    return df.join(dropped, df[f"`{id_col}`"].eqNullSafe(F.col("__gone_i")) & (h == F.col("__gone_h")), "left_anti")
+
+
+def one_of_each(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of rows repeated with the same id and text one stays; all columns are kept."""
+    key = row_key(df, id_col, text_col, "last")
+    repeated = staged(df.groupBy(key["i"].alias("i"), key["h"].alias("h")).count().filter("count > 1").select("i", "h"), "repeated")
+    if repeated.limit(1).count() == 0:
+        return df
+    marked = df.withColumn("__h", F.xxhash64(F.coalesce(df[f"`{text_col}`"], F.lit(""))))
+    again = marked.join(repeated, marked[f"`{id_col}`"].eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h")), "left_semi")
+    return without(df, repeated, id_col, text_col).union(again.dropDuplicates([id_col, "__h"]).drop("__h"))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: cuts the lineage, survives lost executors, and is computed once."""
     path = scratch(df.sparkSession, name)

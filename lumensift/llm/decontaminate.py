@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import only, staged
+from lumensift.llm.common import only, row_key, staged, without
 from lumensift.workspace import once
 
 #: Up to so many distinct shingles of the benchmark are tested for inside each document's row; beyond it they are joined.
@@ -167,6 +167,6 @@ def _windows(hashed: DataFrame, items: DataFrame, k: int, lengths: list[int], si
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns. Rows with a null id stay."""
-    found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(found, docs[f"`{id_col}`"] == F.col("__gone"), "left_anti")
+    """The rows of docs that leak no item, with all their columns, whether ids are null or repeat."""
+    keys = docs.select(row_key(docs, id_col, text_col, "last").alias("k"), docs[f"`{text_col}`"].alias("t"))
+    return without(docs, leaks(keys, benchmark, "k", "t", **options).select("k.i", "k.h"), id_col, text_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import lookup, lower_ascii, only, staged
+from lumensift.llm.common import lookup, lower_ascii, one_of_each, only, row_key, staged, without
 
 
 def digest_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,6 +53,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of df that stay, with all their columns."""
+    """The rows of df that stay by their ids, with all their columns. Rows with a null id stay; keep_one_row() decides on them too."""
     dropped = exact_dedup(df, id_col, text_col, keep).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
     return df.join(dropped, df[f"`{id_col}`"] == F.col("__gone"), "left_anti")
+
+
+def keep_one_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of df that stay, with all their columns: one of each group, whether ids are null or repeat."""
+    keys = df.select(row_key(df, id_col, text_col, "first" if keep == "largest" else "last").alias("k"), df[f"`{text_col}`"].alias("t"))
+    dropped = exact_dedup(keys, "k", "t", keep).filter(~F.col("kept")).select("k.i", "k.h")
+    return one_of_each(without(df, dropped, id_col, text_col), id_col, text_col)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumensift.llm.common import lookup, only, per_row, staged
+from lumensift.llm.common import lookup, one_of_each, only, per_row, row_key, staged, without
 from lumensift.llm.components import connected_components
 from lumensift.llm.token_counts import _arrow
 
@@ -92,6 +92,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of df that stay, with all their columns: of each component the one with the smallest id."""
-    gone = near_duplicates(df, id_col, text_col, radius, shingle).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, df[f"`{id_col}`"] == F.col("__gone"), "left_anti")
+    """The rows of df that stay, with all their columns: of each component the one with the smallest id, whether ids are null (then last) or repeat."""
+    keys = df.select(row_key(df, id_col, text_col, "last").alias("k"), df[f"`{text_col}`"].alias("t"))
+    gone = near_duplicates(keys, "k", "t", radius, shingle).filter(F.col("k") != F.col("component_id")).select("k.i", "k.h")
+    return one_of_each(without(df, gone, id_col, text_col), id_col, text_col)

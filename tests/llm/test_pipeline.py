@@ -126,3 +126,15 @@ def test_each_stage_but_the_last_returns_the_columns_of_documents(spark, folder)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_stages_with_null_and_repeated_ids(spark, folder):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    texts = [(None, "Same text here"), (7, "same text here"), (None, "only under null"), (None, "only under null"), (8, "twice the same row"), (8, "twice the same row"), (7, "own text of seven")]
+    texts += [(None, item), (9, item + " again"), (9, "clean text of nine")]
+    df = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in texts], spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    rest = [(7, "own text of seven"), (7, "same text here"), (8, "twice the same row"), (9, "clean text of nine"), (9, item + " again"), (None, item), (None, "only under null")]
+    for stage in (corpus_pipeline.exact_dedup_stage, corpus_pipeline.simhash_stage):
+        assert sorted(((r.doc_id, r.text) for r in stage(spark, df, folder).collect()), key=str) == sorted(rest, key=str)
+    left = [(i, t) for i, t in texts if item not in t]
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, df, folder).collect()), key=str) == sorted(left, key=str)
