@@ -1,14 +1,12 @@
 """A compressed FM-index over sequences of words: the Burrows-Wheeler transform in a wavelet matrix with popcount ranks.
 
-Suffixes are sorted by their first 16 symbols only, which is enough for patterns of up to 16; sorting takes four doublings.
+Suffixes are sorted by their first `depth` symbols at least, which is enough for patterns of that length; sorting takes log2(depth) doublings.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 16
-
 
 class BitVector:
     """Packed bits with a count before each 64-bit word."""
@@ -53,10 +51,10 @@ class WaveletMatrix:
 class FMIndex:
     """symbols: sequences of 1..sigma-1, each ended by 0."""
 
-    def __init__(self, symbols: np.ndarray, sigma: int):
+    def __init__(self, symbols: np.ndarray, sigma: int, depth: int = 16):
         n = len(symbols)
         rank, length = symbols.astype(np.int64), 1
-        while length < DEPTH:
+        while length < depth:
             after = np.zeros(n, dtype=np.int64)
             after[: max(0, n - length)] = rank[length:] + 1
             _, rank = np.unique(rank * (int(after.max(initial=0)) + 1) + after, return_inverse=True)
@@ -80,8 +78,8 @@ class FMIndex:
 def matching_first(sequences: list[list], owners: np.ndarray, window: int) -> list[np.ndarray]:
     """For each window of each sequence, the least owner of a sequence that holds it: owners[k] is the owner of sequences[k].
 
-    Each sequence is streamed against the index of all: its matching statistics reach `window` where a window starts, and
-    the interval of that match names all places of the same words.
+    Each sequence is streamed against the index of all: backward search from each window's last word gives its matching
+    statistic up to `window`; where that is reached, the interval of the match names all places of the same words.
     """
     names: dict = {}
     flat = np.fromiter((names.setdefault(x, len(names) + 1) for s in sequences for x in (*s, None)), dtype=np.int64)
@@ -89,7 +87,7 @@ def matching_first(sequences: list[list], owners: np.ndarray, window: int) -> li
     flat = np.where(flat == end, 0, np.where(flat > end, flat - 1, flat))
     lengths = np.fromiter((len(s) + 1 for s in sequences), dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    index = FMIndex(flat, len(names))
+    index = FMIndex(flat, len(names), window)
     of = np.repeat(np.arange(len(sequences)), lengths)[index.suffixes]
     counts = np.maximum(lengths - window, 0)
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())

@@ -3,8 +3,9 @@
 1. Each window has a minimizer. A run of neighbouring windows with one minimizer is a segment of words. Grouped by
    minimizer, those that only one document has fall away, and with them most of the text: they can't belong to a repeated
    window, as equal windows have equal minimizers.
-2. Where all segments under a minimizer are alike (by a 64-bit hash of their words, besides that of the minimizer), all
-   their windows first stand in the smallest document, and there is nothing to search.
+2. Where all segments under a minimizer are alike (by a 128-bit BLAKE2b digest of their words), all their windows first
+   stand in the smallest document, and there is nothing to search. The hashes of words and minimizers only bring texts
+   together; what is equal is told by such digests or by the words themselves.
 3. The other segments go to the shard of their minimizer, which so sees all places of its windows; equal segments are one
    by then. A shard is an FM-index of its segments. They are streamed against it by backward search: where a segment's
    matching statistics reach the window's length, the interval's smallest document id is that of the window's first document.
@@ -27,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumensift.llm.common import discard, lookup, only, staged
-from lumensift.llm.fm_index import DEPTH, matching_first
+from lumensift.llm.fm_index import matching_first
 from lumensift.llm.token_counts import _arrow
-from lumensift.llm.windows import minimizers, run_hashes, runs, split, words_of
+from lumensift.llm.windows import digest, minimizers, run_digests, runs, split, words_of
 
 GRAM = 5
 #: Characters taken at a time; segments in one index, at least; different segments above which a minimizer goes by whole windows.
@@ -50,28 +51,29 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list
 
 
 def _document_minimizers(docs: DataFrame, window: int, keys: bool) -> DataFrame:
-    """v, __id and, with keys, the least and the greatest hash (lo, hi) of its segments: a row for each minimizer of each document."""
+    """v, __id: a row for each minimizer of each document; with keys a row for each different segment, with its digest (d0, d1)."""
     kind = docs.schema["__id"].dataType
-    schema = pa.schema([("v", pa.int64()), ("__id", _arrow(kind)), *([("lo", pa.int64()), ("hi", pa.int64())] if keys else [])])
+    schema = pa.schema([("v", pa.int64()), ("__id", _arrow(kind)), *([("d0", pa.int64()), ("d1", pa.int64())] if keys else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, texts in _pieces(batch, 1):
                 w = words_of(texts)
-                first, place, value = minimizers(w, window, GRAM)
+                first, place, value = minimizers(w, window, min(GRAM, window))
                 start, end = runs(first, place)
                 if not len(start):
                     continue
                 text, v = np.searchsorted(w.first, first[start], side="right") - 1, value[start]
-                order = np.lexsort((v, text))
-                new = np.flatnonzero(np.diff(v[order], prepend=0).astype(bool) | np.diff(text[order], prepend=-1).astype(bool))
-                columns = [pa.array(v[order[new]]), batch.column(0).take(pa.array(text[order[new]] + a))]
+                by = [v, text]
                 if keys:
-                    h = run_hashes(w, first[start], first[end - 1] + window)[order]
-                    columns += [pa.array(np.minimum.reduceat(h, new)), pa.array(np.maximum.reduceat(h, new))]
+                    d = run_digests(w, first[start], first[end - 1] + window)
+                    by = [d[:, 1], d[:, 0], *by]
+                order = np.lexsort(by)
+                new = order[np.flatnonzero(np.any([np.diff(x[order], prepend=x[order[0]] ^ 1) != 0 for x in by], axis=0))]
+                columns = [pa.array(v[new]), batch.column(0).take(pa.array(text[new] + a)), *([pa.array(d[new, 0]), pa.array(d[new, 1])] if keys else [])]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("__id", "__text").mapInArrow(run, f"v bigint, __id {kind.simpleString()}" + ", lo bigint, hi bigint" * keys)
+    return docs.select("__id", "__text").mapInArrow(run, f"v bigint, __id {kind.simpleString()}" + ", d0 bigint, d1 bigint" * keys)
 
 
 def _segments(flagged: DataFrame, window: int) -> DataFrame:
@@ -87,7 +89,7 @@ def _segments(flagged: DataFrame, window: int) -> DataFrame:
 
     def out(batch: pa.RecordBatch, row: int, n: int, late: list, v: list, start: list, data: list) -> pa.RecordBatch:
         same = pa.array([row] * n)
-        digests = [d if d is None else hashlib.md5(d).digest() for d in data]
+        digests = [d if d is None else digest(d) for d in data]
         columns = [late, v, start, digests, [d if d is None else d.decode("utf-8", "surrogatepass") for d in data]]
         return pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), *(pa.array(c, type=f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
@@ -96,7 +98,7 @@ def _segments(flagged: DataFrame, window: int) -> DataFrame:
             found: list[pa.RecordBatch] = []
             for a, b, texts in _pieces(batch, 2):
                 w = words_of(texts)
-                first, place, value = minimizers(w, window, GRAM)
+                first, place, value = minimizers(w, window, min(GRAM, window))
                 start, end = runs(first, place)
                 bounds = np.searchsorted(first[start], w.first)
                 for k in range(b - a):
@@ -179,10 +181,11 @@ def removals(docs: DataFrame, window: int) -> DataFrame:
     """__id, __th, windows: the first words of each document's repeated windows. docs has __id, __th (a hash of the text) and __text."""
     named = docs.filter("__id is not null")
     both = _document_minimizers(named, window, keys=True).groupBy("v").agg(
-        F.min("__id").alias("first"), F.max("__id").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")
+        F.min("__id").alias("first"), F.max("__id").alias("last"), F.count(F.lit(1)).alias("n"),
+        *(f(d).alias(f"{f.__name__}_{d}") for d in ("d0", "d1") for f in (F.min, F.max)),
     )
     # Two documents or more: the least and the greatest id differ.
-    shared = staged(both.filter("first < last").select("v", "n", "first", (F.col("lo") == F.col("hi")).alias("alone")), "shared")
+    shared = staged(both.filter("first < last").select("v", "n", "first", F.expr("min_d0 = max_d0 AND min_d1 = max_d1").alias("alone")), "shared")
     pairs = lookup(_document_minimizers(named, window, keys=False), shared, "v", "n", salt="__id").filter("alone is not null")
     flags = staged(pairs.groupBy("__id").agg(F.collect_list(F.struct("v", "first", "alone")).alias("flags")), "flags")
     discard(shared)
@@ -206,8 +209,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input. Null and empty texts have no words. A row with a null id is compared with none and kept whole;
     rows that repeat an id count as one document. Other columns play no part; an empty table gives an empty result.
     """
-    if not GRAM <= window <= DEPTH:
-        raise ValueError(f"window must be {GRAM} to {DEPTH} words")
+    if window < 1:
+        raise ValueError("window must be a word at least")
     docs = only(df, __id=id_col, __text=text_col).withColumn("__th", F.xxhash64("__text"))
     kind = df.schema[id_col].dataType
     # What a document drops is small beside its text: it is joined by id, the text's hash tells rows with one id apart.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
@@ -20,7 +21,7 @@ def split(text: str | None) -> list[bytes]:
 
 @dataclass
 class Words:
-    """The words of some texts: byte ranges in one buffer, a hash for each, and where each text's words begin."""
+    """The words of some texts: byte ranges in one buffer, where single spaces part them, a hash for each, and where each text's words begin."""
 
     data: bytes
     start: np.ndarray
@@ -30,7 +31,7 @@ class Words:
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b, joined by single spaces."""
-        return b" ".join(self.data[self.start[a] : self.end[b - 1]].split())
+        return self.data[self.start[a] : self.end[b - 1]]
 
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -50,7 +51,7 @@ def words_of(texts: list[str | None]) -> Words:
     A word's hash is a polynomial over its bytes, taken from running sums. Equal words have equal hashes; that unequal
     ones seldom do saves work and decides nothing.
     """
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    parts = [b" ".join(split(t)) for t in texts]
     data = b" ".join([b"", *parts, b""])
     raw = np.frombuffer(data, dtype=np.uint8)
     word = ~_SPACE[raw]
@@ -91,14 +92,16 @@ def minimizers(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return inside, place[inside], least[inside].view(np.int64)
 
 
-def run_hashes(w: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of words a[k] to b[k] for each k: a polynomial over the words' hashes, taken from running sums, and the number of words."""
-    up, down = _power_tables(len(w.hashes) + 1)
-    sums = np.zeros(len(w.hashes) + 1, dtype=np.uint64)
-    np.cumsum((w.hashes ^ (w.hashes >> np.uint64(29))) * up[: len(w.hashes)], out=sums[1:])
-    out = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
-    out ^= out >> np.uint64(31)
-    return (out * np.uint64(_BASE)).view(np.int64)
+def digest(words: bytes) -> bytes:
+    """16 bytes that stand for words joined by single spaces where they are compared: a cryptographic hash, so unequal words can't be made to agree."""
+    return blake2b(words, digest_size=16).digest()
+
+
+def run_digests(w: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The digest of words a[k] to b[k] for each k, as two longs."""
+    data = w.data
+    whole = b"".join([blake2b(data[i:j], digest_size=16).digest() for i, j in zip(w.start[a].tolist(), w.end[b - 1].tolist(), strict=True)])
+    return np.frombuffer(whole, dtype=np.int64).reshape(-1, 2)
 
 
 def runs(first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -99,3 +99,23 @@ def test_edges(spark):
     text = " ".join(f"w{k}" for k in range(13))
     df = spark.createDataFrame([(1, text), (2, f"x {text} y"), (3, text.replace("w12", "z"))], schema)
     assert sorted(tuple(r) for r in dedup_substrings(df, with_text=True).select("doc_id", "n_removed", "kept_text").collect()) == [(1, 0, text), (2, 13, "x y"), (3, 0, text.replace("w12", "z"))]
+
+
+@pytest.mark.parametrize("window", [1, 3, 40])
+def test_other_windows(spark, window):
+    docs = corpus()[:120]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(map(tuple, dedup_substrings(df, window=window).collect()), key=str) == brute(docs, window)
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(spark):
+    """Thue-Morse words and their complements agree in every polynomial hash modulo 2^64: only their letters tell them apart."""
+    for n in (1024, 2048):
+        plain = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+        other = plain.translate({97: "b", 98: "a"})
+        same = " ".join(f"w{k}" for k in range(12))
+        docs = [(1, f"{same} {plain}"), (2, f"{same} {other}"), (3, f"{same}  {plain}"), (4, f"{other} {same}"), (5, f"{plain} {same}")]
+        df = spark.createDataFrame(docs, "doc_id bigint, text string")
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup_substrings(df).collect())
+        assert got == brute(docs)
+        assert [g[2] for g in got] == [0, 0, 13, 0, 0]
