@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import types as T
 
-from lumensift.llm.exact_dedup import exact_dedup, keep_one
+from lumensift.llm.exact_dedup import digest_runs, exact_dedup, keep_one_row, merge_tree
 
 
 def low(text):
@@ -44,7 +44,26 @@ def test_against_brute_force(spark, keep, best):
 
 def test_kept_rows_and_no_rows(spark):
     df = frame(spark, rows())
-    gone = {i for i, *_, kept, _ in brute(rows(), max) if not kept and i is not None}
-    left = keep_one(df)
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in rows() if i not in gone) and left.columns == df.columns
-    assert exact_dedup(df.limit(0)).count() == 0 and keep_one(df.limit(0)).count() == 0
+    left = keep_one_row(df)
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    best = {}
+    for i, t in rows():
+        best[low(t)] = max(best.get(low(t), (False, 0)), (i is not None, i or 0))
+    assert sorted((low(t), (i is not None, i or 0)) for i, t in got) == sorted(best.items()) and left.columns == df.columns
+    assert exact_dedup(df.limit(0)).count() == 0 and keep_one_row(df.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    data = [(1, "same"), (1, "unique one"), (2, "same"), (5, "x"), (5, "x"), (None, "same"), (None, "alone"), (None, "ALONE")]
+    got = sorted(((r.doc_id, low(r.text)) for r in keep_one_row(frame(spark, data)).collect()), key=str)
+    assert got == [(1, "unique one"), (2, "same"), (5, "x"), (None, "alone")]
+
+
+def test_the_tree_merges_sorted_runs(spark):
+    """Whatever the number of rounds, one merged run is left; the plan merges sorted rows and has an exchange for each round."""
+    digests = digest_runs(frame(spark, rows())).persist()
+    found = [sorted(map(tuple, merge_tree(digests, levels).collect()), key=str) for levels in (0, 1, 3, 5)]
+    assert found[0] == found[1] == found[2] == found[3]
+    plan = merge_tree(digests, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 8 and plan.count("Exchange hashpartitioning(") == 4 and "HashAggregate" not in plan
+    digests.unpersist()
