@@ -150,6 +150,115 @@ _SIGNATURES: tuple[tuple[str, str, str], ...] = (
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
     ("cc0-1.0", r"creativecommons org publicdomain zero 1 0", "creativecommons"),
     ("ofl-1.1", r"scripts sil org ofl", "sil org"),
+    ("mit", r"above copyright notice and this permission notice shall be included in all copies or substantial portions", "substantial portions"),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", "claim damages or other liability"),
+    ("x11", r"the name of the x consortium shall not be used in advertising", "x consortium"),
+    ("x11", r"except as contained in this notice the names? of (?:\w+ ){1,10}shall not be used in advertising", "contained in this notice"),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted", "and its documentation"),
+    ("isc", r"the software is provided as is and the author disclaims all warranties", "author disclaims all warranties"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions of source"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary"),
+    ("bsd", r"this software is provided by (?:the )?(?:\w+ ){1,6}as is and any express or implied warranties", "and any express or implied"),
+    ("bsd-3", r"used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote"),
+    ("bsd-patent", r"each copyright holder and contributor hereby grants to those receiving rights under this license", "each copyright holder and"),
+    ("apache-2", r"you may not use this file except in compliance with the license", "except in compliance"),
+    ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the license", "agreed to in writing"),
+    ("apache-2", r"grant of patent license subject to the terms and conditions of this license each contributor", "grant of patent license"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "developed by the apache"),
+    ("apache-1.1", r"products derived from this software may not be called apache", "may not be called apache"),
+    ("gpl", r"this program is distributed in the hope that it will be useful but without any warranty", "in the hope that it"),
+    ("gpl", r"you should have received a copy of the gnu general public", "should have received"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public", "should have received"),
+    ("agpl", r"you should have received a copy of the gnu affero general public", "should have received"),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document", "verbatim copies"),
+    ("gpl-3", r"the gnu general public license is a free copyleft license for software and other kinds of works", "free copyleft"),
+    ("gpl-2", r"the licenses for most software are designed to take away your freedom to share and change it", "your freedom to share"),
+    ("agpl-3", r"remote network interaction use with the gnu general public license", "remote network interaction"),
+    ("lgpl-2.1", r"the lesser general public license applies to some specially designated software", "specially designated"),
+    ("gpl-2", r"gpl 2 0 (?:only|or later)", "gpl 2 0"),
+    ("gpl-3", r"gpl 3 0 (?:only|or later)", "gpl 3 0"),
+    ("lgpl-2.1", r"lgpl 2 1 (?:only|or later)", "lgpl 2 1"),
+    ("lgpl-3", r"lgpl 3 0 (?:only|or later)", "lgpl 3 0"),
+    ("agpl-3", r"agpl 3 0 (?:only|or later)", "agpl 3 0"),
+    ("classpath-exception", r"linking this (?:library|software) statically or dynamically with other modules is making a combined work", "statically or dynamically"),
+    ("gcc-exception", r"gcc runtime library exception", "gcc runtime"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation", "modify this document"),
+    ("mpl-2", r"if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", "contents of this file"),
+    ("mpl-2", r"this source code form is incompatible with secondary licenses", "incompatible with secondary"),
+    ("cddl-1.0", r"the contents of this file are subject to the terms of the common development and distribution license", "contents of this file"),
+    ("epl-1", r"the accompanying program is provided under the terms of this eclipse public license", "accompanying program"),
+    ("epl-1", r"accompanying materials are made available under the terms of the eclipse public license v 1 0", "accompanying materials"),
+    ("epl-2", r"accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0", "accompanying materials"),
+    ("cpl-1", r"the accompanying program is provided under the terms of this common public license", "accompanying program"),
+    ("ipl-1", r"the accompanying program is provided under the terms of this ibm public license", "ibm public"),
+    ("eupl-1.2", r"this european union public licence the eupl applies to the work", "european union public"),
+    ("ms-pl", r"this license governs use of the accompanying software if you use the software you accept this license", "governs use of"),
+    ("artistic-2", r"this license establishes the terms under which a given free software package may be copied", "given free software"),
+    ("artistic-1", r"the intent of this document is to state the conditions under which a package may be copied", "intent of this document"),
+    ("perl", r"redistribute it and or modify it under the same terms as perl", "same terms as perl"),
+    ("boost-1", r"any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "person or organization"),
+    ("zlib", r"the origin of this software must not be misrepresented", "must not be misrepresented"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source versions"),
+    ("libpng", r"the png reference library is supplied as is", "png reference library"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", "verbatim or modified"),
+    ("cc0-1.0", r"the person who associated a work with this deed has dedicated the work to the public domain", "with this deed"),
+    ("cc0-1.0", r"waived all copyright and related or neighbou?ring rights", "related or neighbo"),
+    ("public-domain", r"this (?:work|file|code|program|software|document) is in the public domain", "public domain"),
+    ("public-domain", r"the author disclaims copyright to this source code", "disclaims copyright"),
+    ("public-domain", r"i hereby (?:release|dedicate|place) this (?:\w+ ){1,6}(?:in|into|to) the public domain", "i hereby"),
+    ("blessing", r"may you do good and not evil may you find forgiveness for yourself and forgive others", "good and not evil"),
+    ("php-3", r"this product includes php software freely available from", "php software"),
+    ("python-2", r"psf is making python available to licensee on an as is basis", "making python available"),
+    ("postgresql", r"this software and its documentation for any purpose without fee and without a written agreement", "without a written agreement"),
+    ("openssl", r"this product includes software developed by the openssl project", "openssl project"),
+    ("ssleay", r"this product includes cryptographic software written by", "cryptographic software"),
+    ("curl", r"modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "with or without fee"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font", "font software"),
+    ("ofl-1.1", r"copyright (?:\w+ ){1,20}with reserved font name", "reserved font name"),
+    ("odbl-1", r"this (?:\w+ ){1,6}is made available under the open database license", "open database"),
+    ("ncsa", r"neither the names? of (?:\w+ ){1,16}nor the names of its contributors may be used to endorse or promote products derived from this software", "neither the name"),
+    ("icu", r"copyright (?:c )?(?:\d{4} )+international business machines corporation and others", "international business"),
+    ("unicode", r"any person obtaining a copy of the unicode data files and any associated documentation", "unicode data files"),
+    ("unicode", r"see the terms of use at www unicode org copyright", "unicode org"),
+    ("w3c", r"w3c software (?:notice and|and document(?: notice and)?) license", "w3c software"),
+    ("w3c", r"by obtaining using and or copying this work you the licensee agree", "copying this work"),
+    ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed"),
+    ("bsl-1.1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "non production use"),
+    ("bsl-1.1", r"change date (?:\w+ ){1,6}change license", "change license"),
+    ("sspl-1", r"make the functionality of the program or a modified version available to third parties as a service", "functionality of the program"),
+    ("llama", r"is licensed under the llama \d(?: \d)? community license", "llama"),
+    ("openrail", r"use based restrictions as referenced in paragraph 5", "use based restrictions"),
+    ("openrail", r"bigscience (?:rail|open ?rail m) license", "bigscience"),
+    ("openrail", r"responsible ai license", "responsible ai"),
+    ("gemma", r"gemma is provided under and subject to the gemma terms of use", "gemma terms"),
+    ("commons-clause", r"the license does not grant to you the right to sell the software", "right to sell"),
+    ("commons-clause", r"commons clause license condition", "commons clause"),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter|internal use|free trial) license", "polyform"),
+    ("prosperity", r"prosperity public license", "prosperity"),
+    ("parity", r"parity public license", "parity"),
+    ("hippocratic", r"hippocratic license", "hippocratic"),
+    ("anti-996", r"anti 996 license", "anti 996"),
+    ("cecill", r"(?:cecill(?: [abc])?|cea cnrs inria logiciel libre) (?:free software )?licen[sc]e", "licen"),
+    ("apsl-2", r"apple public source license", "apple public"),
+    ("rpl", r"reciprocal public license", "reciprocal public"),
+    ("qpl", r"(?:the q|trolltech q) public license", "q public"),
+    ("sissl", r"sun industry standards source license", "sun industry"),
+    ("oracle-bcl", r"binary code license agreement", "binary code"),
+    ("watcom", r"open watcom public license", "watcom"),
+    ("naumen", r"naumen public license", "naumen"),
+    ("zpl", r"zope public license", "zope"),
+    ("xfree86", r"xfree86 (?:project )?license", "xfree86"),
+    ("fair", r"usage of the works is permitted provided that this instrument is retained with the works", "usage of the works"),
+    ("etalab-2", r"licence ouverte(?: open licence)?(?: version| v)? 2 0", "licence ouverte"),
+    ("dl-de-by-2", r"datenlizenz deutschland namensnennung(?: version)? 2 0", "datenlizenz"),
+    ("dl-de-zero-2", r"datenlizenz deutschland zero(?: version)? 2 0", "datenlizenz"),
+    ("nlod", r"norwegian licence for open government data", "norwegian licence"),
+    ("cdla-permissive", r"community data license agreement permissive", "community data"),
+    ("cdla-sharing", r"community data license agreement sharing", "community data"),
+    ("cc-by", r"lizenziert unter (?:einer |der )?creative commons namensnennung", "lizenziert unter"),
+    ("creative-commons", r"(?:mis à disposition selon les termes de la|bajo una) licen(?:ce|cia) (?:de )?creative commons", "creative commons"),
 )
 _CC = tuple(("by" + "".join(f"-{x}" for x in parts), parts) for parts in ((), ("sa",), ("nd",), ("nc",), ("nc", "sa"), ("nc", "nd")))
 _CC_WORDS = {"sa": r"share ?alike", "nd": r"no ?deriv(?:ative)?s?(?: works)?", "nc": r"non ?commercial"}
@@ -214,11 +323,12 @@ def scanner(rules: tuple[Rule, ...] = RULES, base: tuple[tuple[str, str], ...] =
         starts: list[int] = []
         labels: set[str] = set()
         for phrase, label in phrases:
-            at = line.find(phrase)
+            at, before, number = line.find(phrase), 0, 0
             while at >= 0:
-                starts.append(line.count(b" ", 0, at))
+                number += line.count(b" ", before, at)
+                starts.append(number)
                 labels.add(label)
-                at = line.find(phrase, at + 1)
+                before, at = at, line.find(phrase, at + 1)
         found, score = _detect(line), 1.0 if starts else 0.0
         all_labels = labels | {label for label, *_ in found}
         score = max([score, *(s for *_, s in found)])
@@ -245,7 +355,13 @@ def scanner(rules: tuple[Rule, ...] = RULES, base: tuple[tuple[str, str], ...] =
                 continue
             kept.append((r.label, a, b, r.strength))
             reach[p] = max(reach[p], b)
-        return [(label, s.count(" ", 0, a + (s[a] == " ")) - 1, s.count(" ", 0, b), strength) for label, a, b, strength in kept]
+        # One pass over the line gives the number of spaces before each offset.
+        spaces, number, before = {}, 0, 0
+        for at in sorted({x for _, a, b, _ in kept for x in (a + (s[a] == " "), b)}):
+            number += s.count(" ", before, at)
+            spaces[at] = number
+            before = at
+        return [(label, spaces[a + (s[a] == " ")] - 1, spaces[b], strength) for label, a, b, strength in kept]
 
     return scan
 
@@ -258,7 +374,7 @@ STEMS = tuple(
         "sil org", "cc", "public domain", "copyright", "rights reserved", "rechte vorbehalten", "droits réservés", "derechos reservados", "proprietary",
         "unauthori", "commercial", "derivative", "released", "distributed", "available", "covered", "provided", "gpl", "mpl", "epl", "eupl", "cddl", "cpl",
         "ms pl", "ms rl", "bsl", "wtfpl", "do what the", "perl", "ofl", "odbl", "odc", "pddl", "sspl", "gfdl", "llama", "rail", "mulan", "beer", "not evil",
-        "asl 2", "university of", "ncsa",
+        "asl 2", "university of", "ncsa", "intent of this", "png reference", "unicode data", "use based", "datenlizenz", "combined work",
     )
 )
 
