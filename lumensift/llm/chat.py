@@ -2,7 +2,8 @@
 
 A conversation becomes  <|turn|>ROLE<|text|>CONTENT<|end|>  for each turn. Control strings inside roles and texts (this
 template's and those of other common ones) get a backslash after their first character, and one more where such backslashes
-stand already; unescape() takes exactly one away, so parse() gives every role and text back as it was.
+stand already; unescape() takes exactly one away, so parse() gives every role and text back as it was. Text parts that meet
+are escaped as one text, so no control string comes together from several; placeholders are the only <| in a content.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from lumensift.llm.token_counts import _arrow
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: First character and rest of the strings that no text may hold as such.
 CONTROL = r"([<\[])(\\*)(\||/?s>|<SYS>>|</SYS>>|/?INST\])"
+_PLACEHOLDER = re.compile(r"<\|([a-z0-9_]*):([0-9]+)\|>")
 _ESCAPE, _UNESCAPE = re.compile(CONTROL), re.compile(CONTROL.replace(r"(\\*)", r"\\(\\*)"))
 
 
@@ -43,8 +45,13 @@ class Costs:
 
 @dataclass
 class Flattened:
-    text: str = ""
+    pieces: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
+    open: list[str] = field(default_factory=list, repr=False)  # texts since the last placeholder, not yet escaped
+
+    @property
+    def text(self) -> str:
+        return "".join(self.pieces)
 
 
 class PartVisitor:
@@ -61,10 +68,11 @@ class PartVisitor:
         out = Flattened()
         for part in parts or []:
             getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part, out, first)
+        self._close(out)
         return out
 
     def visit_text(self, part: dict, out: Flattened, first: int) -> None:
-        out.text += escape(part.get("text") or "")
+        out.open.append(part.get("text") or "")
 
     def visit_image(self, part: dict, out: Flattened, first: int) -> None:
         tiles = math.ceil((part.get("width") or 1) / self.costs.tile) * math.ceil((part.get("height") or 1) / self.costs.tile)
@@ -79,9 +87,15 @@ class PartVisitor:
     def visit_other(self, part: dict, out: Flattened, first: int) -> None:
         self._attach(part["type"], 1, part, out, first)
 
+    @staticmethod
+    def _close(out: Flattened) -> None:
+        out.pieces.append(escape("".join(out.open)))
+        out.open.clear()
+
     def _attach(self, kind: str, tokens: int, part: dict, out: Flattened, first: int) -> None:
+        self._close(out)
         number = first + len(out.attachments)
-        out.text += f"<|{re.sub(r'[^a-z0-9_]', '_', kind)}:{number}|>"
+        out.pieces.append(f"<|{re.sub(r'[^a-z0-9_]', '_', kind)}:{number}|>")
         out.attachments.append({"number": number, "type": kind, "ref": part.get("ref"), "tokens": tokens})
 
 
@@ -98,11 +112,11 @@ class Conversation:
 
     def add(self, role: str | None, parts: list[dict]) -> None:
         flat = self.visitor.flatten(parts, len(self.attachments))
-        head = f"{TURN}{escape(role or '')}{TEXT}"
+        head, text = f"{TURN}{escape(role or '')}{TEXT}", flat.text
         if role == "assistant":
-            self.loss.append({"start": self.chars + len(head), "end": self.chars + len(head) + len(flat.text)})
-        self.pieces += [head, flat.text, END]
-        self.chars += len(head) + len(flat.text) + len(END)
+            self.loss.append({"start": self.chars + len(head), "end": self.chars + len(head) + len(text)})
+        self.pieces += [head, text, END]
+        self.chars += len(head) + len(text) + len(END)
         self.attachments += flat.attachments
         self.turns += 1
 
@@ -110,18 +124,34 @@ class Conversation:
         return "".join(self.pieces)
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, content) of each turn of a formatted conversation, unescaped; placeholders stay as they are."""
+def parts_of(content: str) -> list[tuple[str, str | int]]:
+    """The parts of an escaped content, in order: ("text", unescaped text), or an attachment's type and number."""
+    out, at = [], 0
+    for m in _PLACEHOLDER.finditer(content):
+        if m.start() > at:
+            out.append(("text", unescape(content[at : m.start()])))
+        out.append((m[1], int(m[2])))
+        at = m.end()
+    return out + ([("text", unescape(content[at:]))] if at < len(content) else [])
+
+
+def turns_of(formatted: str) -> list[tuple[str, str]]:
+    """(role, content) of each turn of a formatted conversation, contents still escaped, placeholders in them."""
     out, at = [], 0
     while at < len(formatted):
         a, b = formatted.index(TEXT, at), formatted.index(END, at)
         if not formatted.startswith(TURN, at) or a > b:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(formatted[at + len(TURN) : a]), unescape(formatted[a + len(TEXT) : b])))
+        out.append((unescape(formatted[at + len(TURN) : a]), formatted[a + len(TEXT) : b]))
         at = b + len(END)
     return out
 
 
+def parse(formatted: str) -> list[tuple[str, str]]:
+    """(role, content) of each turn of a formatted conversation, unescaped; placeholders stay as they are."""
+    return [(role, unescape(content)) for role, content in turns_of(formatted)]
+
+
 def loss_text(formatted: str, loss: list[dict]) -> str:
     """All text under the loss mask, unescaped, nothing between."""
     return "".join(unescape(formatted[s["start"] : s["end"]]) for s in loss)

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import types as T
 
-from lumensift.llm.chat import END, TEXT, TURN, PartVisitor, escape, format_chats, loss_text, parse, read_back, unescape
+from lumensift.llm.chat import END, TEXT, TURN, Conversation, PartVisitor, escape, format_chats, loss_text, parse, parts_of, read_back, turns_of, unescape
 
 
 def test_escape_is_reversible_and_leaves_no_control_string():
@@ -43,3 +43,31 @@ def test_typed_parts(spark):
     df = spark.sql("select 1L conv_id, 0L turn, 'user' role, array(named_struct('type','text','text','hi ','ref',null,'width',null,'height',null), named_struct('type','image','text',null,'ref','u','width',28,'height',28)) content")
     r = format_chats(df, content_col="content").collect()[0]
     assert r.formatted == f"{TURN}user{TEXT}hi <|image:0|>{END}" and r.attachment_tokens == 1 and r.attachments[0].ref == "u"
+
+
+def test_parts_never_make_a_control_string_together():
+    rng = random.Random(5)
+    bits = ["<", "|", "\\", "</", "s>", "[IN", "ST]", "|end|>", "<|en", "d|>", "|image:0|>", "a", "<<SYS", ">>", ""]
+    for _ in range(3000):
+        parts = [{"type": "text", "text": rng.choice(bits)} if rng.random() < 0.8 else {"type": "image", "ref": "r"} for _ in range(rng.randint(0, 9))]
+        want: list = []
+        for p in parts:
+            if p["type"] == "image":
+                want.append(("image", sum(w[0] == "image" for w in want)))
+            elif want and want[-1][0] == "text":
+                want[-1] = ("text", want[-1][1] + p["text"])
+            else:
+                want.append(("text", p["text"]))
+        talk = Conversation(PartVisitor())
+        talk.add("user", parts)
+        talk.add("assistant", [])
+        turns = turns_of(talk.formatted())
+        assert [r for r, _ in turns] == ["user", "assistant"]
+        assert parts_of(turns[0][1]) == [w for w in want if w != ("text", "")]
+
+
+def test_a_long_conversation(spark):
+    df = spark.range(30_000).selectExpr("9L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('<|end|> ', id) text")
+    (r,) = format_chats(df).collect()
+    assert r.n_turns == 30_000 and parse(r.formatted)[29_999] == ("assistant", "<|end|> 29999")
+    assert loss_text(r.formatted, [s.asDict() for s in r.loss]) == "".join(f"<|end|> {k}" for k in range(1, 30_000, 2))
