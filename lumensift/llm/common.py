@@ -54,24 +54,48 @@ def one_of_each(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return without(df, repeated, id_col, text_col).union(again.dropDuplicates([id_col, "__h"]).drop("__h"))
 
 
+#: Paths of the staged tables that are there, in the order of writing.
+_staged: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: cuts the lineage, survives lost executors, and is computed once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    _staged.append(path)
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that no later plan reads, and lets Spark's cleaner delete the shuffle files of plans that are written by now."""
-    spark = tables[0].sparkSession
-    jvm = spark.sparkContext._jvm
-    for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t.staged_at)
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _staged.remove(p)
+
+
+def discard(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Deletes staged tables that no later plan reads. With shuffles, also lets Spark's cleaner delete the shuffle files of plans that are written by now."""
+    spark = tables[0].sparkSession
+    _delete(spark, [t.staged_at for t in tables])
+    if shuffles:
+        clean(spark)
+
+
+def clean(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a plan when the JVM has collected it: after large ones this is asked for."""
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def only_staged(result: Callable[[], DataFrame], name: str, spark: SparkSession, *before: DataFrame) -> DataFrame:
+    """The staged result; all that was staged on the way to it, and the tables `before` it, which it was read from, are deleted."""
+    known = set(_staged)
+    out = staged(result(), name)
+    _delete(spark, [p for p in _staged if p not in known and p != out.staged_at] + [t.staged_at for t in before])
+    clean(spark)
+    return out
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = HOT_KEYS, salt: str | None = None) -> DataFrame:

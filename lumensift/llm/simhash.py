@@ -1,11 +1,16 @@
-"""SimHash near-deduplication by meet-in-the-middle ball hashing."""
+"""SimHash near-deduplication by meet-in-the-middle ball hashing.
+
+near_duplicates() links 64-bit fingerprints within a few bits, all of them. similar_groups() links texts by similarity: its
+fingerprints are long and fall into parts, whose balls are met part by part.
+"""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,20 +84,124 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component of such rows only has a null component_id). Other columns play no part; an empty table gives an empty result.
     """
     docs = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    classes = staged(docs.groupBy("fp").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
-    links = staged(ball_links(classes.select("fp"), radius), "links")
-    found = connected_components(links)
-    # Of each component of fingerprints, the smallest id.
-    named = found.join(classes, found["node"] == classes["fp"]).select("node", "component", "first_id")
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("smallest"))
-    of_fp = named.select("node", "component").join(smallest, "component").select("node", "smallest")
-    ids = classes.join(of_fp, classes["fp"] == of_fp["node"], "left").select("fp", "n", F.coalesce("smallest", "first_id").alias("component_id"))
-    out = lookup(docs, staged(ids, "ids"), "fp", "n")
+    classes = staged(docs.groupBy("fp").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("fp")), "classes")
+    out = _named(docs, classes, staged(ball_links(classes.select("fp"), radius), "links"), "fp")
     return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of df that stay, with all their columns: of each component the one with the smallest id, whether ids are null (then last) or repeat."""
+def _named(docs: DataFrame, classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """docs(__id, key) with component_id, the smallest first_id of the classes(key, node, first_id, n) that links(a, b) of nodes connect."""
+    found = connected_components(links)
+    named = found.join(classes, "node").select("node", "component", "first_id")
+    smallest = named.groupBy("component").agg(F.min("first_id").alias("smallest"), F.count(F.lit(1)).alias("n"))
+    of_node = lookup(named.select("node", "component"), smallest, "component", "n", salt="node")
+    ids = classes.join(of_node.select("node", "smallest"), "node", "left").select(key, "n", F.coalesce("smallest", "first_id").alias("component_id"))
+    return lookup(docs, staged(ids, "ids"), key, "n", salt="__id")
+
+
+#: A long fingerprint is LONGS x 64 bits, read as parts of 32 bits.
+LONGS = 4
+_PARTS = LONGS * 2
+
+
+def long_fingerprinter(shingle: int = 5, seed: int = 42):
+    """text -> LONGS signed integers: a SimHash of words as in fingerprinter(), each shingle's XXH64 stretched by a mixing function."""
+    import numpy as np
+    import xxhash
+
+    h = xxhash.xxh64_intdigest
+    steps = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    block = 1 << 13
+
+    def stretched(hashes):
+        z = hashes[:, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+    def fingerprint(text: str | None) -> tuple[int, ...]:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not words:
+            return (0,) * LONGS
+        parts = list(zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [words]
+        counts = np.zeros(64 * LONGS, dtype=np.int64)
+        for a in range(0, len(parts), block):
+            hashes = np.array([h(b" ".join(p), seed) for p in parts[a : a + block]], dtype="<u8")
+            counts += np.unpackbits(stretched(hashes).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return tuple(np.packbits(counts * 2 > len(parts), bitorder="little").view("<i8").tolist())
+
+    return fingerprint
+
+
+def long_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """One row per input row: __id, f (an array of LONGS longs)."""
+    id_type = df.schema[id_col].dataType
+    schema = pa.schema([("i", _arrow(id_type)), ("f", pa.list_(pa.int64()))])
+
+    def make():
+        f = long_fingerprinter(shingle)
+        return lambda i, t: (i, f(t))
+
+    return per_row(only(df, __id=id_col, __text=text_col), ["__id", "__text"], schema, f"__id {id_type.simpleString()}, f array<bigint>", make)
+
+
+def bits_for(similarity: float) -> int:
+    """The most bits in which the long fingerprints of two equally long texts of that Jaccard similarity are expected to differ."""
+    cosine = 2 * similarity / (1 + similarity)
+    return math.floor(64 * LONGS * math.acos(cosine) / math.pi)
+
+
+def _apart(f: Column, g: Column) -> Column:
+    return sum((F.bit_count(f[k].bitwiseXOR(g[k])) for k in range(LONGS)), F.lit(0))
+
+
+def part_links(classes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of the nodes of classes(node, f), all verified: their fingerprints differ in at most radius bits.
+
+    Two fingerprints meet if a part of theirs differs in at most two bits, as all within 3 x parts - 1 bits do: each part
+    emits all variants within one bit. Those that share a part are compared with two of them, picked by hashes, so that hot
+    parts need no pairs and the picks change from part to part. These two emit the part's variants: under a variant no more
+    than twice a ball's points can meet, and all of them are compared.
+    """
+    low = lambda k: F.col("f")[k].bitwiseAND(F.lit(0xFFFFFFFF))
+    high = lambda k: F.shiftrightunsigned(F.col("f")[k], 32)
+    parts = classes.select("node", "f", F.posexplode(F.array(*(x(k) for k in range(LONGS) for x in (low, high)))).alias("p", "v"))
+    parts = parts.select("node", "f", (F.col("p").cast("bigint") * (1 << 32) + F.col("v")).alias("at"))
+    pick = F.struct(F.xxhash64("node", "at").alias("o"), "node", "f")
+    centres = staged(parts.groupBy("at").agg(F.min(pick).alias("c"), F.max(pick).alias("d"), F.count(F.lit(1)).alias("n")), "centres")
+    shared = lookup(parts, centres.filter("n > 1"), "at", "n", salt="node").filter("c is not null")
+    shared = shared.select("node", "f", F.explode(F.array("c", "d")).alias("c")).filter((F.col("c.node") != F.col("node")) & (_apart(F.col("f"), F.col("c.f")) <= radius))
+    both = centres.select("at", F.explode(F.when(F.col("n") > 1, F.array("c.node", "d.node")).otherwise(F.array("c.node"))).alias("node"))
+    emitted = both.select("node", F.explode(F.array(*(F.col("at").bitwiseXOR(F.lit(m)) for m in (0, *(1 << b for b in range(32)))))).alias("variant"))
+    earlier = Window.partitionBy("variant").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    met = emitted.select(F.col("node").alias("b"), F.collect_list("node").over(earlier).alias("before")).filter(F.size("before") > 0)
+    met = met.select("b", F.explode("before").alias("a")).filter("a <> b").distinct()
+    of = lambda side, f: classes.select(F.col("node").alias(side), F.col("f").alias(f))
+    near = met.join(of("a", "fa"), "a").join(of("b", "fb"), "b").filter(_apart(F.col("fa"), F.col("fb")) <= radius)
+    pairs = near.select("a", "b").union(shared.select(F.least("node", "c.node"), F.greatest("node", "c.node")))
+    return pairs.distinct()
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row per input row: id, component_id (the smallest id reachable by links).
+
+    Texts are linked if their long fingerprints of `shingle`-word shingles differ in at most bits_for(similarity) bits and
+    meet in part_links(). At 256 bits the estimate has a standard deviation of 0.02 to 0.03 in similarity. Null and empty
+    texts are one class; rows with a null id join their component but never name it; ids may repeat; other columns play
+    no part; an empty table gives an empty result.
+    """
+    docs = staged(long_fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    grouped = docs.groupBy("f").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed once written
+    out = _named(docs, classes, staged(part_links(classes, bits_for(similarity)), "links"), "f")
+    return out.select(F.col("__id").alias(id_col), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of df that stay, with all their columns: of each group of similar texts the one with the smallest id, null ids last.
+
+    Rows are told apart by id and text, whether ids are null or repeat; of rows alike in both, one stays.
+    """
     keys = df.select(row_key(df, id_col, text_col, "last").alias("k"), df[f"`{text_col}`"].alias("t"))
-    gone = near_duplicates(keys, "k", "t", radius, shingle).filter(F.col("k") != F.col("component_id")).select("k.i", "k.h")
+    gone = similar_groups(keys, "k", "t", similarity, shingle).filter(F.col("k") != F.col("component_id")).select("k.i", "k.h")
     return one_of_each(without(df, gone, id_col, text_col), id_col, text_col)

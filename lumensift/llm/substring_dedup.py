@@ -159,7 +159,7 @@ def first_documents(segments: DataFrame, window: int) -> DataFrame:
     )
     sizes = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
     sized = staged(distinct.join(sizes, "v"), "sized")
-    discard(distinct)
+    discard(distinct, shuffles=True)
     keys = ["v", "key"]
     firsts = _indexed(sized.filter(f"k <= {HOT}").select(*keys, "words", "first").repartition("v").sortWithinPartitions("v"), window)
     parts = F.split("words", " ")
@@ -169,7 +169,7 @@ def first_documents(segments: DataFrame, window: int) -> DataFrame:
     by_window = lookup(whole, least, "text", "n", salt="key").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("firsts"))
     joined = firsts.union(by_window).join(sized.select(*keys, "last", "n"), keys)
     out = staged(joined.filter(F.array_min("firsts") < F.col("last")).select(_segment(), "n", "firsts"), "firsts")
-    discard(sized)
+    discard(sized, shuffles=True)
     return out
 
 
@@ -188,9 +188,9 @@ def removals(docs: DataFrame, window: int) -> DataFrame:
     shared = staged(both.filter("first < last").select("v", "n", "first", F.expr("min_d0 = max_d0 AND min_d1 = max_d1").alias("alone")), "shared")
     pairs = lookup(_document_minimizers(named, window, keys=False), shared, "v", "n", salt="__id").filter("alone is not null")
     flags = staged(pairs.groupBy("__id").agg(F.collect_list(F.struct("v", "first", "alone")).alias("flags")), "flags")
-    discard(shared)
+    discard(shared, shuffles=True)
     found = staged(_segments(named.join(flags, "__id").select("__id", "__th", "__text", "flags"), window), "segments")
-    discard(flags)
+    discard(flags, shuffles=True)
     segments = found.filter("v is not null")
     firsts = first_documents(segments, window)
     placed = segments.select("__id", "__th", "start", _segment())
@@ -198,7 +198,7 @@ def removals(docs: DataFrame, window: int) -> DataFrame:
     late = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("__id"), F.col("start") + i)), lambda x: x.isNotNull())
     every = known.select("__id", "__th", late.alias("late")).filter(F.size("late") > 0).union(found.filter("v is null").select("__id", "__th", "late"))
     out = staged(every.groupBy("__id", "__th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("late")))).alias("windows")), "removals")
-    discard(found, firsts)
+    discard(found, firsts, shuffles=True)
     return out
 
 

@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import types as T
 
 from lumensift.llm.components import connected_components
-from lumensift.llm.simhash import ball_links, fingerprinter, keep_one, near_duplicates
+from lumensift.llm.simhash import ball_links, bits_for, fingerprinter, keep_one, long_fingerprinter, near_duplicates, part_links, similar_groups
 
 
 def brute_fp(text):
@@ -86,7 +86,93 @@ def test_long_chain_and_null_ids(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in near_duplicates(df).collect()) == [("4", "4")] * 2 + [("None", "None")] * 2
 
 
-def test_keep_one_with_longer_shingles(spark):
-    """A text of fewer words than a shingle is one shingle."""
-    df = spark.createDataFrame([(1, "a b c d"), (2, "A B C D"), (3, "a b c e")], "doc_id bigint, text string")
-    assert sorted(r.doc_id for r in keep_one(df, shingle=5).collect()) == [1, 3]
+def test_a_hub_and_its_spokes(spark):
+    links = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, 1000 + i) for i in range(1, 300)] + [(5000, 5001)], "a bigint, b bigint")
+    got = {r.node: r.component for r in connected_components(links).collect()}
+    assert got == {n: 5000 if n >= 5000 else 0 for n in (*range(300), *range(1001, 1300), 5000, 5001)}
+
+
+def long_brute(text):
+    """The fingerprint's bits by plain arithmetic, as one number."""
+    import re
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    sh = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [" ".join(w)] if w else []
+    top, out = 2**64 - 1, 0
+    for k in range(4):
+        zs = []
+        for s in sh:
+            z = (xxhash.xxh64_intdigest(s.encode(), seed=42) + (k + 1) * 0x9E3779B97F4A7C15) & top
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & top
+            z = (z ^ z >> 27) * 0x94D049BB133111EB & top
+            zs.append(z ^ z >> 31)
+        out |= sum(1 << 64 * k + b for b in range(64) if 2 * sum(z >> b & 1 for z in zs) > len(zs))
+    return out
+
+
+def long_components(fps, radius=38):
+    """id -> smallest id reachable by pairs within the radius that share a 32-bit part up to two bits."""
+    parent = {i: i for i in fps}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(fps)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            d = fps[i] ^ fps[j]
+            if d.bit_count() <= radius and min((d >> 32 * k & 2**32 - 1).bit_count() for k in range(8)) <= 2:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in ids}
+
+
+def near_copies(rng, families=12, copies=12):
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    out = []
+    for f in range(families):
+        base = [word() for _ in range(rng.randint(30, 400))]
+        for c in range(copies):
+            t = list(base)
+            for _ in range(rng.randint(0, 2 + len(t) // 120)):
+                t[rng.randrange(len(t))] = word()
+            out.append((f * 100 + c, " ".join(t)))
+    return out
+
+
+def test_long_fingerprint():
+    f = long_fingerprinter()
+    assert bits_for(0.8) == 38 and bits_for(1) == 0
+    for _, t in [*docs(random.Random(5), 30), *near_copies(random.Random(6), 2, 2)]:
+        assert sum((x & 2**64 - 1) << 64 * k for k, x in enumerate(f(t))) == long_brute(t)
+
+
+def test_similar_groups_against_brute_force(spark):
+    rows = near_copies(random.Random(9)) + [(9000, None), (9001, ""), (9002, "ONE"), (9003, "one")]
+    df = spark.createDataFrame([(i, t, "x", None) for i, t in rows], "doc_id bigint, text string, f string, node int")
+    got = {r.doc_id: r.component_id for r in similar_groups(df).collect()}
+    assert got == long_components({i: long_brute(t) for i, t in rows}) and len(set(got.values())) < 60
+    assert similar_groups(df.limit(0)).count() == 0
+
+
+def test_part_links_of_a_large_family(spark):
+    """Every pair that meets is in the components, whether its members share a part or not; links stay far fewer than pairs."""
+    rng = random.Random(10)
+    seed = rng.getrandbits(256)
+    fps = {i: seed ^ sum(1 << rng.randrange(256) for _ in range(rng.randint(0, 12))) for i in range(600)} | {1000 + i: rng.getrandbits(256) for i in range(50)}
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(i, [signed(f >> 64 * k & 2**64 - 1) for k in range(4)]) for i, f in fps.items()], "node bigint, f array<bigint>")
+    links = part_links(df, 38).collect()
+    assert len(links) < 600 * 80
+    parent = {r.node: r.component for r in connected_components(spark.createDataFrame([(r.a, r.b) for r in links], "a bigint, b bigint")).collect()}
+    want = long_components(fps)
+    assert {i: parent.get(i, i) for i in fps} == want
+
+
+def test_keep_one(spark):
+    """One of each group stays, the smallest id; a null id is last; a text of fewer words than a shingle is one shingle."""
+    df = spark.createDataFrame([(1, "a b c d"), (2, "A B C D"), (3, "a b c e"), (None, "a b c e"), (None, "z"), (None, "z")], "doc_id bigint, text string")
+    assert sorted((str(r.doc_id), r.text) for r in keep_one(df).collect()) == [("1", "a b c d"), ("3", "a b c e"), ("None", "z")]
