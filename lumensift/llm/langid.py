@@ -8,7 +8,8 @@ the name without its number), and these towards those of the whole corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,15 +17,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import lookup, only, staged
+from lumensift.llm.common import discard, lookup, only, staged
 from lumensift.llm.token_counts import _arrow
+from lumensift.workspace import once
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
 #: A-Z become a-z and all other ASCII but letters a space: digits, addresses and marks speak for no language.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in bytes(range(256)).lower())
-#: Country domains and path segments that speak for a language.
-SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
+#: Country domains that speak for a language.
+COUNTRIES = {
+    "de": "de at li", "fr": "fr mc", "es": "es mx ar cl co pe ve uy py bo ec cr gt hn ni pa sv cu do", "en": "uk us au ie nz ca", "it": "it sm va", "pt": "pt br ao mz", "nl": "nl sr", "pl": "pl", "cs": "cz",
+    "sk": "sk", "sl": "si", "hr": "hr", "hu": "hu", "ro": "ro md", "bg": "bg", "el": "gr cy", "tr": "tr", "ru": "ru su by kz", "uk": "ua", "sv": "se", "no": "no", "da": "dk", "fi": "fi", "is": "is", "et": "ee",
+    "lv": "lv", "lt": "lt", "ja": "jp", "ko": "kr", "zh": "cn tw hk mo", "vi": "vn", "th": "th", "id": "id", "fa": "ir", "he": "il", "ar": "sa eg ae jo iq kw qa", "sq": "al", "sr": "rs", "mk": "mk", "ka": "ge", "hy": "am",
+}
+SUFFIXES = {country: language for language, countries in COUNTRIES.items() for country in countries.split()}
 
 
 @dataclass(frozen=True)
@@ -62,30 +69,27 @@ def trigrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside].astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
 
 
-def train(df: DataFrame, text_col: str, label_col: str, id_col: str, languages: Sequence[str] | None = None, rows: int = 20_000, alpha: float = 0.05, most_languages: int = 64, least_grams: int = 1000) -> Model:
-    """Fits the trigram model on about `rows` labelled rows, drawn label by label by a hash of the id; trigrams are counted on the executors.
+def train(df: DataFrame, text_col: str, label_col: str, id_col: str, languages: Sequence[str] | None = None, rows: int = 20_000, alpha: float = 0.05, least_grams: int = 1000) -> Model:
+    """Fits the trigram model on about `rows` labelled rows, drawn label by label by a hash of id and text; trigrams are counted on the executors.
 
     No label gives more rows than it takes for all to give `rows`, so a rare one gives all it has. Labels whose sample has
     fewer than least_grams trigrams are left out, if any has more. Each language is smoothed, by alpha x BUCKETS trigrams,
     towards all of them together, so what no language has seen is as unlikely under a rare label as under a common one.
-    The driver receives at most languages x BUCKETS sums. Without a list, the most_languages commonest labels are learnt;
-    where no row is labelled, the model has one language, UNKNOWN, under which all trigrams are alike.
+    Without a list all labels are learnt; the sample bounds their number, and the driver receives at most labels x BUCKETS
+    sums. Where no labelled row has a trigram, the model has one language, UNKNOWN, under which all trigrams
+    are alike.
     """
     labelled = only(df, __id=id_col, __text=text_col, label=label_col).filter("label is not null and __text is not null")
-    counts = labelled.groupBy("label").count()
-    if languages is None:
-        counts = counts.orderBy(F.desc("count"), "label").limit(most_languages)
-    else:
-        counts = counts.filter(F.col("label").isin(list(languages)))
-    sizes = {r.label: r["count"] for r in counts.collect()}
-    languages = tuple(sorted(sizes if languages is None else languages)) or (UNKNOWN,)
-    most = _level(list(sizes.values()), rows)
-    shares = {label: min(1.0, most / n) for label, n in sizes.items()}
-    drawn = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1_000_000_000))
-    limit = F.lit(None).cast("int")
-    for label, share in shares.items():
-        limit = F.when(F.col("label") == label, F.lit(int(share * 1_000_000_000))).otherwise(limit)
-    sample = labelled.filter(drawn < limit)
+    if languages is not None:
+        labelled = labelled.filter(F.col("label").isin(list(languages)))
+    drawn = labelled.withColumn("h", F.xxhash64("__id", "__text", F.lit(5)))
+    counts = staged(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels")
+    most = F.lit(_level(counts, rows))
+    # Only hashes are dealt by label; the texts of the rows that are drawn, a bounded number, are then picked out where they lie.
+    share = lookup(drawn.select("label", "h"), counts.withColumn("share", most / F.col("n")), "label", "n", salt="h")
+    kept = (F.col("share") >= 1) | (F.shiftrightunsigned("h", 1).cast("double") < F.col("share") * float(1 << 63))
+    keys = staged(share.filter(kept).select("label", "h").distinct(), "sample-keys")
+    sample = drawn.join(F.broadcast(keys), ["label", "h"], "left_semi").groupBy("label", "h").agg(F.first("__text").alias("__text"))
     schema = pa.schema([("label", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,30 +99,36 @@ def train(df: DataFrame, text_col: str, label_col: str, id_col: str, languages:
                 found, _ = trigrams([text.as_py()])
                 sums.setdefault(label.as_py(), np.zeros(BUCKETS, dtype=np.int64))
                 sums[label.as_py()] += np.bincount(found, minlength=BUCKETS)
+            if len(sums) > 256:
+                yield from flush(sums)
+        yield from flush(sums)
+
+    def flush(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for label, n in sums.items():
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(some)), pa.array(some, pa.int32()), pa.array(n[some])], schema=schema)
-
-    counted = sample.select("__text", "label").mapInArrow(count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros((len(languages), BUCKETS))
-    index = {language: k for k, language in enumerate(languages)}
-    for label, bucket, k in zip(*(counted.column(c).to_pylist() for c in range(3)), strict=True):
-        n[index[label], bucket] = k
-    enough = n.sum(axis=1) >= least_grams
-    if enough.any():
-        languages, n = tuple(x for x, e in zip(languages, enough, strict=True) if e), n[enough]
+        sums.clear()
+
+    counted = staged(sample.select("__text", "label").mapInArrow(count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    totals = counted.groupBy("label").agg(F.sum("n").alias("total"))
+    enough = totals.filter(F.col("total") >= least_grams)
+    seen = sorted(r.label for r in (enough if enough.limit(1).count() else totals).select("label").collect())
+    found = counted.filter(F.col("label").isin(seen)).toArrow() if seen else None
+    names = tuple(seen) or (UNKNOWN,)
+    n = np.zeros((len(names), BUCKETS))
+    if found is not None:
+        index = {language: k for k, language in enumerate(names)}
+        n[np.array([index[x] for x in found.column(0).to_pylist()], dtype=np.int64), found.column(1).to_numpy()] = found.column(2).to_numpy()
+    discard(counts, keys, counted)
     common = (n.sum(axis=0) + alpha) / (n.sum() + alpha * BUCKETS)
-    return Model(languages, np.log((n + alpha * BUCKETS * common) / (n.sum(axis=1, keepdims=True) + alpha * BUCKETS)).astype(np.float32))
+    return Model(names, np.log((n + alpha * BUCKETS * common) / (n.sum(axis=1, keepdims=True) + alpha * BUCKETS)).astype(np.float32))
 
 
-def _level(sizes: Sequence[int], rows: int) -> float:
-    """The most that each may give so that together they give `rows`; the largest size if they have no more."""
-    left = float(rows)
-    for k, size in enumerate(sorted(sizes)):
-        if size * (len(sizes) - k) >= left:
-            return left / (len(sizes) - k)
-        left -= size
-    return float(max(sizes, default=0))
+def _level(counts: DataFrame, rows: int) -> float:
+    """The most that each label of counts(label, n) may give so that together they give no more than `rows`, to a fifth below; no fewer than one."""
+    levels = [max(1.0, rows * 2 ** (-k / 4)) for k in range(4 * max(1, rows).bit_length() + 1)]
+    sums = counts.agg(*(F.sum(F.least(F.col("n").cast("double"), F.lit(x))).alias(f"s{k}") for k, x in enumerate(levels))).first()
+    return next((x for x, s in zip(levels, sums, strict=True) if s is None or s <= rows), 1.0)
 
 
 def text_evidence(df: DataFrame, model: Model, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -160,28 +170,32 @@ def parent_of(host: Column) -> Column:
     return F.when(F.instr(host, ".") > 0, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).otherwise(F.regexp_replace(host, r"\d+", ""))
 
 
-def _counts(languages: Sequence[str]) -> list[Column]:
-    return [F.count(F.when(F.col("best") == k, 1)).cast("double").alias(f"c{k}") for k in range(len(languages))]
-
-
 def host_priors(scored: DataFrame, languages: Sequence[str], smoothing: float) -> DataFrame:
-    """host, n, prior (an array over the languages): counts of the texts' likeliest languages by host, parent and corpus."""
-    ks = range(len(languages))
-    hosts = staged(scored.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *_counts(languages)).withColumn("parent", parent_of(F.col("host"))), "hosts")
-    parents = hosts.groupBy("parent").agg(*(F.sum(f"c{k}").alias(f"p{k}") for k in ks))
-    corpus = hosts.agg(*(F.sum(f"c{k}").alias(f"g{k}") for k in ks))  # one row
-    total = lambda x: sum((F.col(f"{x}{k}") for k in ks), F.lit(0.0))
-    upper = parents.crossJoin(F.broadcast(corpus))
-    upper = upper.select("parent", *(((F.col(f"p{k}") + smoothing * (F.col(f"g{k}") + 1) / (total("g") + len(languages))) / (total("p") + smoothing)).alias(f"u{k}") for k in ks))
-    joined = hosts.join(upper, "parent")
-    return joined.select("host", "n", F.array(*((F.col(f"c{k}") + smoothing * F.col(f"u{k}")) / (total("c") + smoothing) for k in ks)).alias("prior"))
-
+    """host, n (rows), prior (an array over the languages): counts of the texts' likeliest languages by host, parent and corpus.
 
-def _says(named: Column, languages: Sequence[str], error: float) -> list[Column]:
-    """Log likelihood of what is named under each language; 0 if it names none of them."""
-    other = error / max(1, len(languages) - 1)
-    known = named.isin(list(languages))
-    return [F.when(F.coalesce(known, F.lit(False)), F.when(named == language, F.log(F.lit(1 - error))).otherwise(F.log(F.lit(other)))).otherwise(F.lit(0.0)) for language in languages]
+    Counts travel as (name, language, count) rows and become a map by name, so the plan does not grow with the languages.
+    """
+    each = F.sequence(F.lit(0), F.lit(len(languages) - 1))
+    entries = lambda c: F.map_from_entries(F.filter(F.collect_list(F.struct("best", c)), lambda x: x["best"].isNotNull()))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("best").isNotNull(), F.col(c))), F.lit(0.0))
+    of = lambda counts, k: F.coalesce(F.element_at(counts, k), F.lit(0.0))
+    counts = staged(scored.groupBy("host", "best").agg(F.count(F.lit(1)).cast("double").alias("c")).withColumn("parent", parent_of(F.col("host"))), "hosts")
+    hosts = counts.groupBy("host", "parent").agg(F.sum("c").cast("bigint").alias("n"), entries("c").alias("own"), total("c").alias("own_total"))
+    above = counts.groupBy("parent", "best").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("hosts"))
+    parents = above.groupBy("parent").agg(F.sum("hosts").alias("hosts"), entries("c").alias("upper"), total("c").alias("upper_total"))
+    corpus = counts.groupBy("best").agg(F.sum("c").alias("c")).agg(entries("c").alias("all"), total("c").alias("all_total"))  # one row
+    upper = lambda k: (of("upper", k) + smoothing * (of("all", k) + 1) / (F.col("all_total") + len(languages))) / (F.col("upper_total") + smoothing)
+    priors = parents.crossJoin(F.broadcast(corpus)).select("parent", "hosts", F.transform(each, upper).alias("above"))
+    both = lookup(hosts, priors, "parent", "hosts", salt="host")
+    own = F.transform("above", lambda u, k: (of("own", k) + smoothing * u) / (F.col("own_total") + smoothing))
+    return both.select("host", "n", own.alias("prior"))
+
+
+def _says(named: Column, languages: Sequence[str], error: float) -> Callable[[Column], Column]:
+    """k -> the log likelihood of what is named under language k; 0 if it names none of them."""
+    place = F.array_position(F.array(*map(F.lit, languages)), named)
+    other = math.log(error / max(1, len(languages) - 1))
+    return lambda k: F.when(F.coalesce(place, F.lit(0)) == 0, F.lit(0.0)).when(place == k + 1, F.lit(math.log(1 - error))).otherwise(F.lit(other))
 
 
 def _likeliest(scores: Column) -> Column:
@@ -200,7 +214,7 @@ def suffix_language(url: Column) -> Column:
     path = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([a-zA-Z]{2})(?:[-_][a-zA-Z]{2})?(?:[/?#]|$)", 1))
     country = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#:]*\.([a-zA-Z]{2})(?:[:/?#]|$)", 1))
     table = F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))
-    own = F.when(path.isin(list({*SUFFIXES.values(), "en"})), path)
+    own = F.when(path.isin(sorted(COUNTRIES)), path)
     return F.coalesce(own, F.element_at(table, country))
 
 
@@ -230,9 +244,9 @@ def identify(
     scored = text_evidence(source, model, "__id", "__text", ["host", "declared_lang", "suffix_lang"])
     scored = staged(scored.withColumn("best", F.when(F.col("n_grams") > 0, _likeliest(F.col("ll"))["k"])), "evidence")
     both = lookup(scored, host_priors(scored, names, s.smoothing), "host", "n", salt="__id")
-    says = [_says(F.col("declared_lang"), names, s.declared_error), _says(F.col("suffix_lang"), names, s.suffix_error)]
-    log_post = F.array(*(F.col("ll")[k] * s.text_weight + F.log(F.col("prior")[k]) + says[0][k] + says[1][k] for k in range(len(names))))
-    fused = both.withColumn("lp", log_post).withColumn("win", _likeliest(F.col("lp"))).withColumns({"top": F.col("win.x"), "k": F.col("win.k")})
+    declares, suffixed = _says(F.col("declared_lang"), names, s.declared_error), _says(F.col("suffix_lang"), names, s.suffix_error)
+    log_post = F.transform("ll", lambda x, k: x * s.text_weight + F.log(F.get("prior", k)) + declares(k) + suffixed(k))
+    fused = once(both, "lp", log_post).withColumn("win", _likeliest(F.col("lp"))).withColumns({"top": F.col("win.x"), "k": F.col("win.k")})
     prob = 1 / F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     language = F.array(*map(F.lit, names))
     own = F.array(*map(F.lit, (float(x) for x in (np.exp(model.log_p) * model.log_p).sum(axis=1))))

@@ -106,4 +106,25 @@ def test_rare_labels_do_not_take_foreign_text(spark):
     got = langid.identify(tests, model, host=F.col("source"), declared=F.col("lang")).collect()
     assert not any(r.kept for r in got if r.doc_id >= 7000) and all(r.kept for r in got if r.doc_id < 7000)
     assert all(r.text_lang == "eo" for r in got if 5000 <= r.doc_id < 6000)
-    assert langid._level([5, 100, 1000], 205) == 100 and langid._level([5, 6], 100) == 6 and langid._level([10, 10], 4) == 2
+
+
+def test_levels_and_shares_at_any_size(spark):
+    counts = lambda *n: spark.createDataFrame([(str(k), x) for k, x in enumerate(n)], "label string, n bigint")
+    assert langid._level(counts(5, 6), 100) == 100 and 80 <= langid._level(counts(5, 100, 1000), 205) <= 100 and 1.6 <= langid._level(counts(10, 10), 4) <= 2
+    assert 8_000 < langid._level(counts(3 * 10**13, 4 * 10**15), 20_000) <= 10_000 and langid._level(counts(*[10**9] * 50), 20) == 1.0
+    # The draw of train() at 10^4 of 10^16 rows: as many hashes lie below the limit as the share says.
+    drawn = spark.range(1_000_000).select(F.xxhash64("id", F.lit(5)).alias("h")).filter(F.shiftrightunsigned("h", 1).cast("double") < F.lit(1e-3) * float(1 << 63))
+    assert 800 < drawn.count() < 1200 and 1e-12 * float(1 << 63) > 9e6
+
+
+def test_two_hundred_labels(spark):
+    rng = random.Random(10)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03d}": ["".join(rng.choice(alphabet) for _ in range(6)) for _ in range(12)] for k in range(200)}
+    rows = [(i, " ".join(rng.choice(words[f"l{i % 200:03d}"]) for _ in range(60)), f"l{i % 200:03d}", f"h{i % 7}") for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = langid.train(df, "text", "lang", "doc_id", rows=1600)
+    assert len(model.languages) == 200
+    got = langid.identify(df, model, host=F.col("source"), declared=F.lit(None).cast("string")).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert len(got) == 1600 and all(r.lang == truth[r.doc_id] and r.kept for r in got)
