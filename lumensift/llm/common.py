@@ -8,12 +8,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumensift.workspace import scratch
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: At most so many of the heaviest keys are sent to every task of a lookup, and only keys with more rows than COLD_ROWS.
 HOT_KEYS, COLD_ROWS = 1024, 64
+#: Where values have a size, those of the hot keys are broadcast as far as they come to no more than this together.
+HOT_SIZE = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,17 +101,24 @@ def only_staged(result: Callable[[], DataFrame], name: str, spark: SparkSession,
     return out
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = HOT_KEYS, salt: str | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = HOT_KEYS, salt: str | None = None, size: str | None = None) -> DataFrame:
     """left LEFT JOIN right on key, where right has one row per key and weight counts the rows of left with that key.
 
     The `hot` heaviest keys (a bounded number of rows, whatever the data) are broadcast, and the rows of left that they
     match leave the shuffle key; so no key in the shuffle join has more than 1/hot of all rows. No row of left is lost,
     and one with a null key gets nulls. weight itself is not returned. salt is a column of left (the first, if not given)
     that spreads the answered rows; it is hashed, not drawn, so a task that is run again deals its rows alike.
+
+    Values that are not of fixed size come with a column `size` of theirs: the hot keys stop where the sizes add up to
+    HOT_SIZE, and a key beyond is joined by shuffle, where adaptive execution splits it.
     """
     values = [c for c in right.columns if c not in (key, weight)]
     packed = right.select(F.col(key), F.col(weight), F.struct(*values).alias("__ls_v"))
-    top = packed.filter(F.col(weight) > COLD_ROWS).orderBy(F.desc(weight), key).limit(hot).select(F.col(key).alias("__ls_hk"), F.col("__ls_v").alias("__ls_hv"))
+    top = packed.filter(F.col(weight) > COLD_ROWS).orderBy(F.desc(weight), key).limit(hot)
+    if size:
+        so_far = Window.orderBy(F.desc(weight), key).rowsBetween(Window.unboundedPreceding, 0)  # over at most `hot` rows
+        top = top.withColumn("__ls_sum", F.sum(f"__ls_v.{size}").over(so_far)).filter(F.col("__ls_sum") <= HOT_SIZE)
+    top = top.select(F.col(key).alias("__ls_hk"), F.col("__ls_v").alias("__ls_hv"))
     first = left.join(F.broadcast(top), left[key] == F.col("__ls_hk"), "left")
     # A row that the hot keys have answered gets a null key and a salt of its own, so that such rows spread over the tasks.
     answered = F.col("__ls_hk").isNotNull() | F.col(key).isNull()
