@@ -11,7 +11,7 @@ from lumensift.llm import chat, langid
 from lumensift.llm.common import UPPER, table
 from lumensift.llm.decontaminate import leaks
 from lumensift.llm.exact_dedup import exact_dedup
-from lumensift.llm.html_extract import extract
+from lumensift.llm.html_extract import HOST, extract
 from lumensift.llm.licenses import scan_licenses
 from lumensift.llm.mixing import Targets, mix, mix_sql
 from lumensift.llm.simhash import near_duplicates
@@ -51,13 +51,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same operator where markup, address and host speak: pages, with the text model of the documents."""
+    """The same operator where markup, address and host speak: the main texts of pages, with the text model of the documents."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    host = F.lower(F.regexp_extract("url", r"://([^/?#:]+)", 1))
-    found = langid.identify(
-        pages, langid.train(docs, "text", "lang", "doc_id"), "page_id", "html", host=host, declared=langid.declared_in_markup(F.col("html")), url=F.col("url")
-    )
-    return found
+    texts = extract(pages.select("page_id", "url", "html", langid.declared_in_markup(F.col("html")).alias("declared")), keep=["declared"])
+    host = F.lower(F.regexp_extract("url", HOST, 1))
+    return langid.identify(texts, langid.train(docs, "text", "lang", "doc_id"), "page_id", host=host, declared=F.col("declared"), url=F.col("url"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

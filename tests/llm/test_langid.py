@@ -1,10 +1,14 @@
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumensift.llm import langid
+from lumensift.llm import langid, queries
+from lumensift.llm.html_extract import blocks, main_text
 
 WORDS = {
     "en": "the of and to in is that was for with this from have which their there".split(),
@@ -128,3 +132,77 @@ def test_two_hundred_labels(spark):
     got = langid.identify(df, model, host=F.col("source"), declared=F.lit(None).cast("string")).collect()
     truth = {r[0]: r[2] for r in rows}
     assert len(got) == 1600 and all(r.lang == truth[r.doc_id] and r.kept for r in got)
+
+
+def languages(train, rows=None):
+    """id -> (language, probability, kept) for rows (id, text, declared, host, suffix language) under a model of train (the same rows, if none are given):
+
+    byte trigrams of letters, host counts smoothed twice, what is declared and what the address says. All in plain loops.
+    """
+
+    def grams(text):
+        b = b" " + bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in (text or "").encode().lower()) + b" "
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 17 for i in range(len(b) - 2)]
+
+    rows = train if rows is None else rows
+    seen = defaultdict(Counter)
+    for _, t, lang, *_ in train:
+        if lang and t is not None:
+            seen[lang].update(grams(t))
+    seen = {k: v for k, v in seen.items() if sum(v.values()) >= 1000}
+    names = sorted(seen)
+    every = Counter()
+    for c in seen.values():
+        every.update(c)
+    base = sum(every.values()) + 0.05 * 32768
+    common = [(every[g] + 0.05) / base for g in range(32768)]
+    log_p = {n: [math.log((seen[n][g] + 0.05 * 32768 * common[g]) / (sum(seen[n].values()) + 0.05 * 32768)) for g in range(32768)] for n in names}
+    own = {n: sum(math.exp(x) * x for x in log_p[n]) for n in names}
+    of = [grams(t) for _, t, *_ in rows]
+    ll = [[sum(log_p[n][g] for g in gs) for n in names] for gs in of]
+    host, parent, corpus, where = defaultdict(Counter), defaultdict(Counter), Counter(), []
+    for k, (_, _, _, source, *_) in enumerate(rows):
+        h = source or ""
+        where.append((h, ".".join(h.split(".")[-2:]) if "." in h else "".join(c for c in h if not c.isdigit())))
+        if of[k]:
+            best = ll[k].index(max(ll[k]))
+            host[h][best] += 1
+            parent[where[k][1]][best] += 1
+            corpus[best] += 1
+    out, n = [], len(names)
+    for j, (i, t, lang, _, *rest) in enumerate(rows):
+        h, p = where[j]
+        top = [(corpus[k] + 1) / (sum(corpus.values()) + n) for k in range(n)]
+        mid = [(parent[p][k] + 20 * top[k]) / (sum(parent[p].values()) + 20) for k in range(n)]
+        prior = [(host[h][k] + 20 * mid[k]) / (sum(host[h].values()) + 20) for k in range(n)]
+        says = lambda named, error: [(math.log(1 - error) if named == m else math.log(error / (n - 1))) if named in names else 0 for m in names]
+        declared, suffix = says((lang or "").lower(), 0.05), says(rest[0] if rest else None, 0.2)
+        lp = [ll[j][k] / 3 + math.log(prior[k]) + declared[k] + suffix[k] for k in range(n)]
+        k = lp.index(max(lp))
+        count = max(1, len(of[j]))
+        usual = ll[j][k] / count >= own[names[k]] - 4 - 6 / math.sqrt(count)
+        prob = 1 / sum(math.exp(x - lp[k]) for x in lp)
+        out.append((i, names[k], prob, any(map(str.isalpha, t or "")) and usual and prob >= 0.5))
+    return out
+
+
+def agree(got, want):
+    assert len(got) == len(want)
+    for (i, lang, prob, kept), (j, lang2, prob2, kept2) in zip(sorted(got, key=str), sorted(want, key=str), strict=True):
+        assert (i, lang, kept) == (j, lang2, kept2) and abs(prob - prob2) < 1e-4
+
+
+def test_documents_and_pages_against_plain_loops(spark):
+    """The registered queries on the smallest tables; each page's main text, markup, host and address as plain code reads them."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    result = lambda df, i: [(r[i], r.lang, r.prob, r.kept) for r in df.collect()]
+    agree(result(queries.op5_language_id(spark, sf), "doc_id"), languages(docs))
+    pages = []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        host = re.match(r"\w+://([^/:?#]*)", r.url)[1].lower()
+        path, country = re.match(r"\w+://[^/]+/([a-z]{2})(?:/|$|\?|#)", r.url), host.rpartition(".")[2]
+        suffix = path[1] if path and path[1] in langid.COUNTRIES else next((k for k, v in langid.COUNTRIES.items() if country in v.split()), None)
+        declared = re.match(r'<!DOCTYPE html><html lang="(..)"', r.html)
+        pages.append((r.page_id, main_text(blocks(r.html)), declared and declared[1], host, suffix))
+    agree(result(queries.page_languages(spark, sf), "page_id"), languages(docs, pages))

@@ -1,11 +1,11 @@
 """run() against a plain version of its five stages, on the smallest tables with some planted rows."""
 
-import math
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 from test_decontaminate import shingles
+from test_langid import languages
 from test_simhash import long_brute, long_components
 
 import corpus_pipeline
@@ -15,48 +15,6 @@ from lumensift.llm.queries import TARGETS
 SF = "/root/testdata/sf0.001"
 
 
-def languages(rows):
-    """doc_id -> language found, for the kept ones: byte trigrams of letters, host counts smoothed twice, declared language."""
-
-    def grams(text):
-        b = b" " + bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in (text or "").encode().lower()) + b" "
-        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 17 for i in range(len(b) - 2)]
-
-    of = {i: grams(t) for i, t, *_ in rows}
-    names = sorted({lang for _, t, lang, _ in rows if lang and t is not None})
-    seen = {n: Counter() for n in names}
-    for i, t, lang, _ in rows:
-        if lang and t is not None:
-            seen[lang].update(of[i])
-    totals = {n: sum(c.values()) + 0.05 * 32768 for n, c in seen.items()}
-    log_p = {n: defaultdict(lambda n=n: math.log(0.05 / totals[n]), {g: math.log((k + 0.05) / totals[n]) for g, k in c.items()}) for n, c in seen.items()}
-    own = {n: sum(math.exp(x) * x for x in log_p[n].values()) + (32768 - len(log_p[n])) * 0.05 / totals[n] * math.log(0.05 / totals[n]) for n in names}
-    ll = {i: [sum(log_p[n][g] for g in of[i]) for n in names] for i in of}
-    host, parent, corpus, where = defaultdict(Counter), defaultdict(Counter), Counter(), {}
-    for i, _, _, source in rows:
-        h = source or ""
-        where[i] = h, "".join(c for c in h if not c.isdigit())
-        if of[i]:
-            best = ll[i].index(max(ll[i]))
-            host[h][best] += 1
-            parent[where[i][1]][best] += 1
-            corpus[best] += 1
-    out, n = {}, len(names)
-    for i, t, lang, _ in rows:
-        h, p = where[i]
-        top = [(corpus[k] + 1) / (sum(corpus.values()) + n) for k in range(n)]
-        mid = [(parent[p][k] + 20 * top[k]) / (sum(parent[p].values()) + 20) for k in range(n)]
-        prior = [(host[h][k] + 20 * mid[k]) / (sum(host[h].values()) + 20) for k in range(n)]
-        says = [(math.log(0.95) if lang.lower() == m else math.log(0.05 / (n - 1))) if lang and lang.lower() in names else 0 for m in names]
-        lp = [ll[i][k] / 3 + math.log(prior[k]) + says[k] for k in range(n)]
-        k = lp.index(max(lp))
-        count = max(1, len(of[i]))
-        usual = ll[i][k] / count >= own[names[k]] - 4 - 6 / math.sqrt(count)
-        if any(map(str.isalpha, t or "")) and usual and 1 / sum(math.exp(x - lp[k]) for x in lp) >= 0.5:
-            out[i] = names[k]
-    return out
-
-
 def leaking(docs, items):
     import re
 
@@ -101,7 +59,7 @@ def test_stages():
 
 def test_run_against_plain_stages(spark, folder):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    found = languages([(r.doc_id, r.text, r.lang, r.source) for r in docs.values()])
+    found = {i: lang for i, lang, _, kept in languages([(r.doc_id, r.text, r.lang, r.source) for r in docs.values()]) if kept}
     assert set(docs) - set(found) == {9000, 9001, 9002, 9003}
     groups = defaultdict(list)
     for i in found:
