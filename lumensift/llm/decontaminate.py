@@ -7,13 +7,17 @@ only window for it.
 1. Moving a window right past a shingle that is not the item's never lowers the similarity: so the most similar window
    starts with one of the item's shingles or ends the document, and only such windows are laid. The threshold asks for a
    number of shared shingles; windows that hold fewer shingles of the benchmark are not laid either.
-2. Each window gets a SimHash of its shingles. Windows and items of equal length meet in multi-index blocks: among
-   radius + 1 blocks of the bits, two fingerprints within the radius agree in one at least, so none within it is missed.
-3. What is within the radius is verified by the exact similarity.
+2. Each window gets a SimHash of its shingles, 189 bits in 9 blocks of 21. Windows and items of equal length meet where a
+   block differs in at most 3 bits: a window emits all variants of its blocks within 1 bit, an item those within 2. Of 9
+   blocks one at least is so near if the fingerprints differ in at most 9 x 4 - 1 = 35 bits: none within that radius is
+   missed. Of unlike pairs, of which about half the bits differ, 0.7 percent meet.
+3. What meets is verified by the exact similarity, once a pair.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +26,14 @@ from lumensift.workspace import once
 
 #: Up to so many distinct shingles of the benchmark are tested for inside each document's row; beyond it they are joined.
 INLINE_SHINGLES = 60_000
-#: Items below this size in bytes (fingerprints and shingle counts) are broadcast to the window's side; larger ones are shuffled.
+#: A table of the items' block variants below this size in bytes is broadcast to the windows' side; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
+#: The fingerprint: three longs, each read as three blocks of 21 bits; bits that a window's and an item's block may vary in.
+LONGS, BLOCK_BITS = 3, 21
+BLOCKS = LONGS * (64 // BLOCK_BITS)
+WINDOW_BALL, ITEM_BALL = 1, 2
+#: Fingerprints that differ in at most so many bits always meet.
+RADIUS = BLOCKS * (WINDOW_BALL + ITEM_BALL + 1) - 1
 
 
 def words(text: Column) -> Column:
@@ -54,36 +64,42 @@ def simhash(shingles: Column) -> Column:
     return F.aggregate(bits, zero, lambda a, x: a.bitwiseOR(x))
 
 
-def block_keys(fp: Column, radius: int) -> Column:
-    """radius + 1 (block number, its bits) of a fingerprint, as longs."""
-    blocks, at, out = radius + 1, 0, []
-    for k in range(blocks):
-        width = 64 // blocks + (k < 64 % blocks)
-        out.append(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) * 64 + k)
-        at += width
-    return F.array(*out)
+def fingerprint(shingles: Column) -> Column:
+    """LONGS SimHashes of an array of hashes, each of other hashes of theirs."""
+    return F.array(*(simhash(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(k)))) for k in range(LONGS)))  # noqa: B023
+
+
+def blocks(fp: Column) -> Column:
+    """The BLOCKS blocks of a fingerprint, as longs."""
+    per = 64 // BLOCK_BITS
+    return F.array(*(F.shiftrightunsigned(fp[k // per], BLOCK_BITS * (k % per)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for k in range(BLOCKS)))
+
 
+def ball(radius: int) -> list[int]:
+    """All masks of a block with at most that many bits."""
+    return [sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(BLOCK_BITS), k)]
 
-def _counts(shingles: Column) -> Column:
-    """shingle -> how often, as a map."""
-    distinct = F.array_distinct(shingles)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda h: F.size(F.filter(shingles, lambda x: x == h))))
+
+def variants(df: DataFrame, radius: int, *keep: str) -> DataFrame:
+    """keep.., block (number), mask and key for each block of df(n, fp) and each mask of the ball: the key names length, block and the varied bits."""
+    each = df.select("n", *keep, F.posexplode(blocks(F.col("fp"))).alias("block", "v")).select("*", F.explode(F.array(*map(F.lit, ball(radius)))).alias("mask"))
+    return each.select(*keep, "block", "mask", F.xxhash64("n", "block", F.col("v").bitwiseXOR(F.col("mask"))).alias("key"))
 
 
 def item_table(benchmark: DataFrame, item_col: str, text_col: str, shingle: int) -> DataFrame:
-    """item_id, n (words), k (words of a shingle: fewer if the item is shorter), sh (hashes), fp. Items without words are left out."""
+    """item_id, n (words), k (words of a shingle: fewer if the item is shorter), sh (hashes), fp, item (a number). Items without words are left out."""
     base = only(benchmark, item_id=item_col, __text=text_col)
     base = once(base, "w", F.transform(words(F.col("__text")), lambda w: F.xxhash64(w)))
     base = base.withColumn("n", F.size("w")).filter("n > 0").withColumn("k", F.least(F.col("n"), F.lit(shingle)))
     sh = F.when(F.col("k") == shingle, shingle_hashes(F.col("w"), shingle))
     for k in range(1, shingle):
         sh = sh.when(F.col("k") == k, shingle_hashes(F.col("w"), k))
-    return once(base, "sh", sh).select("item_id", "n", "k", "sh", simhash(F.col("sh")).alias("fp"))
+    return once(base, "sh", sh).select("item_id", "n", "k", "sh", fingerprint(F.col("sh")).alias("fp"), F.monotonically_increasing_id().alias("item"))
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    similarity: float = 0.8, shingle: int = 5, radius: int = 24,
+    similarity: float = 0.8, shingle: int = 5,
 ) -> DataFrame:
     """One row per leaking document and item: id, item_id, similarity (of the best window), start_word, hamming.
 
@@ -91,9 +107,9 @@ def leaks(
 
     Null and empty texts leak nothing; items without words match nothing; an item of fewer words than a shingle is one
     shingle. Equal items each get their rows; documents repeated with the same id give one row. Rows with a null id or item id are
-    reported under null. Other columns play no part; an empty table on either side gives an empty result. At the default
-    radius a window of similarity 0.8 (cosine 0.89: 9.7 differing bits expected, standard deviation 2.9) is lost with a
-    chance below 1e-6. The benchmark is taken to fit a broadcast only after a count of its shingles; a larger one is joined.
+    reported under null. Other columns play no part; an empty table on either side gives an empty result. hamming is the
+    number of bits in which the fingerprints differ. A window of similarity 0.8 (a bit differs with a chance of 0.15) meets
+    its item with a chance of 0.9998, a more similar one with a higher.
     """
     items = staged(item_table(benchmark, item_col, item_text_col, shingle), "items")
     sizes = items.agg(
@@ -107,27 +123,40 @@ def leaks(
         out = found if out is None else out.union(found)
     if out is None:
         out = base.filter("false").select("__id", F.lit(0).alias("n"), F.lit(0).alias("start"), F.col("w").alias("sh"))
-    windows = staged(out.withColumn("fp", simhash(F.col("sh"))).withColumnRenamed("sh", "win"), "windows")
-    small = sizes["shingles"] is None or sizes["shingles"] * 16 + sizes["items"] * (64 + 16 * radius) < BROADCAST_BYTES
-    other = items.select("item_id", F.col("n").alias("n2"), "sh", F.col("fp").alias("fp2"), F.explode(block_keys(F.col("fp"), radius)).alias("key2"))
-    keyed = windows.withColumn("key", F.explode(block_keys(F.col("fp"), radius)))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    met = keyed.join(F.broadcast(other) if small else other, (F.col("n") == F.col("n2")) & (F.col("key") == F.col("key2")) & (distance <= radius))
-    # Of the blocks in which a pair meets, the first one counts: no pair is verified twice.
-    first = F.array_min(F.array_intersect(block_keys(F.col("fp"), radius), block_keys(F.col("fp2"), radius)))
+    laid = out.withColumn("fp", fingerprint(F.col("sh"))).withColumnRenamed("sh", "win").withColumn("window", F.monotonically_increasing_id())
+    windows = staged(laid, "windows")  # once written, its numbers stay
+    far = variants(items, ITEM_BALL, "item").select("item", "key")
+    small = (sizes["items"] or 0) * BLOCKS * len(ball(ITEM_BALL)) * 32 < BROADCAST_BYTES
+    met = variants(windows, WINDOW_BALL, "window", "fp", "n").join(F.broadcast(far) if small else far, "key")
+    others = items.select("item", F.col("n").alias("n2"), F.col("fp").alias("fp2"))
+    met = met.join(F.broadcast(others) if small else others, "item").filter("n = n2")
+    # A pair that meets in several ways counts once: in its first near block, by the window's mask that is the lowest of the
+    # bits in which the blocks differ, if the item can't bridge them alone.
+    apart = once(met, "apart", F.zip_with(blocks(F.col("fp")), blocks(F.col("fp2")), lambda x, y: x.bitwiseXOR(y)))
+    first = F.array_position(F.transform("apart", lambda x: F.bit_count(x) <= WINDOW_BALL + ITEM_BALL), True) - 1
+    bits = F.get("apart", F.col("block"))
+    own = F.when(F.bit_count(bits) <= ITEM_BALL, F.lit(0).cast("bigint")).otherwise(bits.bitwiseAND(-bits))
+    pairs = apart.filter((F.col("block") == first) & (F.col("mask") == own)).select("window", "item", _apart(F.col("fp"), F.col("fp2")).alias("hamming"))
+    near = pairs.join(windows.select("window", "__id", "start", "win"), "window")
+    read = items.select("item", "item_id", "sh")
+    near = near.join(F.broadcast(read) if small and (sizes["shingles"] or 0) * 8 < BROADCAST_BYTES else read, "item")
     same = F.aggregate(
         F.array_distinct("win"), F.lit(0),
         lambda a, h: a + F.least(F.size(F.filter("win", lambda x: x == h)), F.size(F.filter("sh", lambda x: x == h))),
     )
     all_of = F.size("win") + F.size("sh")
-    near = once(met.filter(F.col("key") == first), "same", same).withColumn("sim", F.col("same") / (all_of - F.col("same"))).filter(F.col("sim") >= similarity)
-    best = near.groupBy("__id", "item_id").agg(F.max(F.struct("sim", (-F.col("start")).alias("s"), (-distance).alias("d"))).alias("m"))
+    near = once(near, "same", same).withColumn("sim", F.col("same") / (all_of - F.col("same"))).filter(F.col("sim") >= similarity)
+    best = near.groupBy("__id", "item_id").agg(F.max(F.struct("sim", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("d"))).alias("m"))
     return best.select(
         F.col("__id").alias(id_col), F.col("item_id").alias(item_col), F.round("m.sim", 6).alias("similarity"), (-F.col("m.s")).cast("bigint").alias("start_word"),
         (-F.col("m.d")).cast("int").alias("hamming"),
     )
 
 
+def _apart(f: Column, g: Column) -> Column:
+    return sum((F.bit_count(f[k].bitwiseXOR(g[k])) for k in range(LONGS)), F.lit(0))
+
+
 def _windows(hashed: DataFrame, items: DataFrame, k: int, lengths: list[int], similarity: float, shingles: int) -> DataFrame:
     """__id, n, start, sh: the windows, as long as some item, that can be the most similar ones; each once."""
     span = lambda n: n - (k - 1)  # noqa: E731  shingles of n words

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumensift.llm import decontaminate
-from lumensift.llm.decontaminate import block_keys, clean, leaks, simhash
+from lumensift.llm.decontaminate import RADIUS, blocks, clean, fingerprint, leaks, simhash, variants
 
 
 def shingles(words, k):
@@ -83,16 +83,41 @@ def test_most_similar_window_between_two_edits(spark, monkeypatch):
 def test_simhash_and_blocks(spark):
     rng = random.Random(12)
     rows = [([rng.getrandbits(63) - rng.getrandbits(63) for _ in range(rng.randint(0, 9))],) for _ in range(50)]
-    for r in spark.createDataFrame(rows, "sh array<bigint>").select("sh", simhash(F.col("sh")).alias("fp"), block_keys(simhash(F.col("sh")), 24).alias("b")).collect():
+    for r in spark.createDataFrame(rows, "sh array<bigint>").select("sh", simhash(F.col("sh")).alias("fp"), fingerprint(F.col("sh")).alias("f"), blocks(fingerprint(F.col("sh"))).alias("b")).collect():
         want = sum(1 << b for b in range(64) if 2 * sum((h & (2**64 - 1)) >> b & 1 for h in r.sh) > len(r.sh))
-        assert r.fp & (2**64 - 1) == want and len(set(r.b)) == 25
-        back, at = 0, 0
-        for k, x in enumerate(r.b):
-            width = 64 // 25 + (k < 64 % 25)
-            assert x % 64 == k and x // 64 < 1 << width
-            back |= (x // 64) << at
-            at += width
-        assert at == 64 and back == want
+        assert r.fp & (2**64 - 1) == want and len(r.f) == 3 and (len(set(r.f)) == 3 or not r.sh)
+        assert [sum(r.b[3 * k + j] << 21 * j for j in range(3)) for k in range(3)] == [x & (2**63 - 1) for x in r.f]
+
+
+def test_recall_of_the_blocks(spark):
+    """All pairs within RADIUS meet, of those at similarity 0.8 nearly all, and of unlike ones few."""
+    rng = random.Random(13)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    far = [[rng.getrandbits(63) for _ in range(60)] for _ in range(400)]
+    near = [base[:53] + [rng.getrandbits(63) for _ in range(7)] for _ in range(400)]  # 53 of 67: 0.79
+    rows = [(k, 60, sh) for k, sh in enumerate([*near, *far])]
+    windows = spark.createDataFrame(rows, "window bigint, n int, sh array<bigint>").withColumn("fp", fingerprint(F.col("sh"))).persist()
+    item = spark.createDataFrame([(0, 60, base)], "item bigint, n int, sh array<bigint>").withColumn("fp", fingerprint(F.col("sh")))
+    met = {r.window for r in variants(windows, 1, "window").join(variants(item, 2, "item"), "key").select("window").distinct().collect()}
+    (own,) = item.collect()
+    apart = {r.window: sum(bin((x ^ y) & (2**63 - 1)).count("1") for x, y in zip(r.fp, own.fp, strict=True)) for r in windows.collect()}
+    assert RADIUS == 35 and all(w in met for w, d in apart.items() if d <= RADIUS)
+    assert sum(w < 400 for w in met) >= 398 and sum(w >= 400 for w in met) < 20
+    windows.unpersist()
+
+
+def test_larger_benchmarks_are_shuffled(spark, monkeypatch):
+    docs, items = make(14)
+    a, b = frames(spark, docs, items)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert {(r.doc_id, r.item_id): r.similarity for r in leaks(a, b).collect()} == {k: v[0] for k, v in brute(docs, items).items()}
+
+
+def test_null_ids(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    a, b = frames(spark, [(None, text), (None, "x " + text), (None, "clean"), (1, text)], [(None, text), (2, text)])
+    assert sorted((tuple(r)[:4] for r in leaks(a, b).collect()), key=str) == sorted([(d, i, 1.0, 0) for d in (None, 1) for i in (None, 2)], key=str)
+    assert [r.text for r in clean(a, b).collect()] == ["clean"]
 
 
 def test_documents_shorter_than_an_item(spark, monkeypatch):
