@@ -161,7 +161,9 @@ def part_links(classes: DataFrame, radius: int) -> DataFrame:
     Two fingerprints meet if a part of theirs differs in at most two bits, as all within 3 x parts - 1 bits do: each part
     emits all variants within one bit. Those that share a part are compared with two of them, picked by hashes, so that hot
     parts need no pairs and the picks change from part to part. These two emit the part's variants: under a variant no more
-    than twice a ball's points can meet, and all of them are compared.
+    than twice a ball's points can meet. They are compared with the smallest first, and one link for each node and part is
+    kept; then all whose components are still apart are compared. So a large family of copies needs few of its pairs, and
+    the links returned are those of the components to their smallest nodes and those between components.
     """
     low = lambda k: F.col("f")[k].bitwiseAND(F.lit(0xFFFFFFFF))
     high = lambda k: F.shiftrightunsigned(F.col("f")[k], 32)
@@ -169,17 +171,42 @@ def part_links(classes: DataFrame, radius: int) -> DataFrame:
     parts = parts.select("node", "f", (F.col("p").cast("bigint") * (1 << 32) + F.col("v")).alias("at"))
     pick = F.struct(F.xxhash64("node", "at").alias("o"), "node", "f")
     centres = staged(parts.groupBy("at").agg(F.min(pick).alias("c"), F.max(pick).alias("d"), F.count(F.lit(1)).alias("n")), "centres")
-    shared = lookup(parts, centres.filter("n > 1"), "at", "n", salt="node").filter("c is not null")
-    shared = shared.select("node", "f", F.explode(F.array("c", "d")).alias("c")).filter((F.col("c.node") != F.col("node")) & (_apart(F.col("f"), F.col("c.f")) <= radius))
+    shared = lookup(parts, centres.filter("n > 1"), "at", "n", salt="node").filter("c is not null").select("node", "f", _part("at"), F.explode(F.array("c", "d")).alias("c"))
+    shared = staged(shared.filter((F.col("c.node") != F.col("node")) & (_apart(F.col("f"), F.col("c.f")) <= radius)).select("node", "part", F.col("c.node").alias("other")), "shared-parts")
     both = centres.select("at", F.explode(F.when(F.col("n") > 1, F.array("c.node", "d.node")).otherwise(F.array("c.node"))).alias("node"))
     emitted = both.select("node", F.explode(F.array(*(F.col("at").bitwiseXOR(F.lit(m)) for m in (0, *(1 << b for b in range(32)))))).alias("variant"))
+    all_of = Window.partitionBy("variant")
+    met = staged(emitted.select("variant", "node", F.min("node").over(all_of).alias("other"), F.max("node").over(all_of).alias("last")).filter("other < last").drop("last"), "met")
+    first = _verified(met.filter("other < node").select("node", "other", _part("variant")).distinct(), classes, radius)
+    links = first.union(shared.select("node", "other", "part")).groupBy("node", "part").agg(F.min("other").alias("other")).select("node", "other").distinct()
+    found = staged(connected_components(staged(links.select(F.col("node").alias("a"), F.col("other").alias("b")), "links")), "components")
+    labelled = met.select("variant", "node").join(found, "node", "left").select("variant", "node", F.coalesce("component", "node").alias("component"))
+    mixed = labelled.withColumns({"low": F.min("component").over(all_of), "high": F.max("component").over(all_of)}).filter("low < high")
     earlier = Window.partitionBy("variant").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    met = emitted.select(F.col("node").alias("b"), F.collect_list("node").over(earlier).alias("before")).filter(F.size("before") > 0)
-    met = met.select("b", F.explode("before").alias("a")).filter("a <> b").distinct()
-    of = lambda side, f: classes.select(F.col("node").alias(side), F.col("f").alias(f))
-    near = met.join(of("a", "fa"), "a").join(of("b", "fb"), "b").filter(_apart(F.col("fa"), F.col("fb")) <= radius)
-    pairs = near.select("a", "b").union(shared.select(F.least("node", "c.node"), F.greatest("node", "c.node")))
-    return pairs.distinct()
+    others = mixed.select("node", "component", F.collect_list(F.struct("node", "component")).over(earlier).alias("before"))
+    others = others.select("node", "component", F.explode("before").alias("o")).filter("o.component <> component")
+    late = _verified(others.select("node", F.col("o.node").alias("other"), F.least("component", "o.component").alias("a"), F.greatest("component", "o.component").alias("b")).distinct(), classes, radius)
+    held = staged(shared.select("node", "other").distinct(), "held")
+    of = found.select("node", F.col("component").alias("a"))
+    held = _beside(held.join(of, "node"), held, found.select(F.col("node").alias("other"), F.col("component").alias("b"))).filter("a <> b")
+    between = late.select("a", "b").union(held.select("a", "b"))
+    return found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(between).distinct()
+
+
+def _part(at: str) -> Column:
+    return F.shiftright(at, 32).cast("int").alias("part")
+
+
+def _beside(left: DataFrame, pairs: DataFrame, right: DataFrame) -> DataFrame:
+    """left with what right(other, ..) says of each row's other, of which very many rows may have the same; pairs is left, or as many rows of it."""
+    return lookup(left, right.join(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n")), "other"), "other", "n", salt="node")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """The pairs(node, other, ..) whose fingerprints differ in at most radius bits."""
+    kept = staged(pairs, "pairs")
+    both = _beside(kept.join(classes.select("node", F.col("f").alias("fa")), "node"), kept, classes.select(F.col("node").alias("other"), F.col("f").alias("fb")))
+    return both.filter(_apart(F.col("fa"), F.col("fb")) <= radius).select(*kept.columns)
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
