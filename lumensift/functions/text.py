@@ -18,6 +18,12 @@ def tokens(text: Column) -> Column:
 
 
 def snippet(text: Column, chars: int = SNIPPET_CHARS) -> Column:
-    """White space collapsed and trimmed; cut at `chars` code points, with ... if more follows."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{javaWhitespace}+", " "))
-    return F.when(F.length(flat) > chars, F.concat(F.substring(flat, 1, chars), F.lit("..."))).otherwise(flat)
+    """White space collapsed and trimmed; cut at `chars` code points, with ... if more follows.
+
+    The first few times as many code points are tried first: if they are enough, the rest of a long text is left alone.
+    """
+    flat = lambda t: F.trim(F.regexp_replace(t, r"\p{javaWhitespace}+", " "))
+    cut = lambda t: F.concat(F.substring(t, 1, chars), F.lit("..."))
+    whole = F.coalesce(text, F.lit(""))
+    start = F.substring(whole, 1, 4 * chars)
+    return F.when(F.length(flat(start)) > chars, cut(flat(start))).when(F.length(flat(whole)) > chars, cut(flat(whole))).otherwise(flat(whole))
