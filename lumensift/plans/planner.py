@@ -60,6 +60,8 @@ class _Compiler:
         positional = isinstance(node, (Adj, Near))
         a, b = (self.compile(c, places or positional) for c in (node.left, node.right))
         if positional:
+            # The places of a union are needed several times: they become a column as well.
+            a, b = (self._settled(c, v) for c, v in ((node.left, a), (node.right, b)))
             self.n += 1
             name = f"anchors_{self.n}"
             # Places are [] where a side does not match, so no further test of the sides is needed.
@@ -76,6 +78,13 @@ class _Compiler:
         both = self._merged_frequency(a, b, union, carried)
         return _Value(a.match | b.match, union, F.when(a.match & b.match, both).when(a.match, a.frequency).when(b.match, b.frequency).otherwise(F.lit(0)))
 
+    def _settled(self, node: Node, value: _Value) -> _Value:
+        if not isinstance(node, (And, Or)):
+            return value
+        self.n += 1
+        self.frame = once(self.frame, f"places_{self.n}", value.places)
+        return _Value(value.match, F.col(f"places_{self.n}"), value.frequency)
+
     @staticmethod
     def _merged_frequency(a: _Value, b: _Value, union: Column, carried: bool) -> Column:
         most = F.greatest(a.frequency, b.frequency)
