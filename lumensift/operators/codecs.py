@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumensift.operators.index import Index
+from lumensift.workspace import once
 
 METHODS = ("none", "varbyte", "bitpacking", "pfor")
 MODES = ("none", "delta", "varbyte", "delta-varbyte", "bitpacking", "delta-bitpacking", "pfor", "delta-pfor")
@@ -28,19 +29,48 @@ def bits(v: Column) -> Column:
     return F.length(F.bin(v))
 
 
-def streams(index: Index) -> DataFrame:
-    """term, stream (docs, tfs, positions), i (place in the term's stream), v and gap (v less the one before; gaps of positions restart at each posting, tfs have none)."""
-    in_term = Window.partitionBy("term").orderBy("doc_id")
-    rows = index.postings.select(
-        "term", "doc_id", "tf", "positions", (F.row_number().over(in_term) - 1).cast("bigint").alias("i"), F.lag("doc_id", 1, 0).over(in_term).alias("before"),
-        (F.sum("tf").over(in_term) - F.col("tf")).alias("first"),
-    )
-    ids = rows.select("term", F.lit("docs").alias("stream"), "i", F.col("doc_id").alias("v"), (F.col("doc_id") - F.col("before")).alias("gap"))
-    tfs = rows.select("term", F.lit("tfs").alias("stream"), "i", F.col("tf").cast("bigint").alias("v"), F.col("tf").cast("bigint").alias("gap"))
+def streams(index: Index, span: int = 1 << 16) -> DataFrame:
+    """term, stream (docs, tfs, positions), i (place in the term's stream), v and gap (v less the one before; gaps of positions restart at each posting, tfs have none).
+
+    Postings are numbered by (term, span of doc_ids): a task orders no more than `span` of them at a time, and what comes
+    before is added from sums, of which a term has one for each span.
+    """
+    spans = F.floor(F.col("doc_id") / span).alias("span")
+    in_term, in_span = Window.partitionBy("term").orderBy("span"), Window.partitionBy("term", "span").orderBy("doc_id")
+    sums = index.postings.groupBy("term", spans).agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tfs"), F.max("doc_id").alias("last"))
+    heads = sums.select(
+        "term", "span", (F.sum("n").over(in_term) - F.col("n")).alias("i0"), (F.sum("tfs").over(in_term) - F.col("tfs")).alias("first0"), F.lag("last", 1, 0).over(in_term).alias("before0")
+    )
+    inside = index.postings.select("term", "doc_id", "tf", "positions", spans).select(
+        "*", (F.row_number().over(in_span) - 1).alias("i1"), F.lag("doc_id").over(in_span).alias("before1"), (F.sum("tf").over(in_span) - F.col("tf")).alias("first1")
+    )
+    rows = inside.join(heads, ["term", "span"]).select(
+        "term", "doc_id", "tf", "positions", (F.col("i0") + F.col("i1")).alias("i"), F.coalesce("before1", "before0").alias("before"), (F.col("first0") + F.col("first1")).alias("first")
+    )
     gaps = F.transform("positions", lambda x, k: F.struct(x.cast("bigint").alias("v"), (x - F.when(k == 0, 0).otherwise(F.get("positions", k - 1))).cast("bigint").alias("gap")))
-    placed = rows.select("term", "first", F.posexplode(gaps).alias("k", "p"))
-    places = placed.select("term", F.lit("positions").alias("stream"), (F.col("first") + F.col("k")).alias("i"), "p.v", "p.gap")
-    return ids.union(tfs).union(places)
+    own = lambda stream, i, v, gap: F.struct(F.lit(stream).alias("stream"), i.alias("i"), v.alias("v"), gap.alias("gap"))
+    tf = F.col("tf").cast("bigint")
+    two = F.array(own("docs", F.col("i"), F.col("doc_id"), F.col("doc_id") - F.col("before")), own("tfs", F.col("i"), tf, tf))
+    places = F.transform(gaps, lambda p, k: own("positions", F.col("first") + k, p["v"], p["gap"]))
+    return rows.select("term", F.explode(F.concat(two, places)).alias("x")).select("term", "x.*")
+
+
+#: Counts of up to BLOCK values by their bits are kept as bytes, seven to a long.
+_PER_LONG, _WIDEST = 7, 63
+
+
+def _by_width(width: Column) -> list[Column]:
+    at = width - 1
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (8 * (at % _PER_LONG)).cast("int"))
+    return [F.sum(F.when(F.floor(at / _PER_LONG) == j, one).otherwise(F.lit(0).cast("bigint"))) for j in range(_WIDEST // _PER_LONG)]
+
+
+def _percentile(counts: list[Column], need: Column) -> Column:
+    """(w, s): the least width up to which s >= need values reach."""
+    packed = F.array(*counts)
+    count = lambda at: F.call_function("shiftright", F.get(packed, F.floor(at / _PER_LONG).cast("int")), (8 * (at % _PER_LONG)).cast("int")).bitwiseAND(F.lit(255))
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("s"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_WIDEST - 1)), start, lambda a, at: F.when(a["s"] >= need, a).otherwise(F.struct((at + 1).alias("w"), (a["s"] + count(at)).alias("s"))))
 
 
 def size_report(index: Index) -> DataFrame:
@@ -49,20 +79,18 @@ def size_report(index: Index) -> DataFrame:
     A term's stream is summed by blocks of 128 values first, so no task holds a posting list; pfor's width of a block is
     the 90th percentile of its values' bits.
     """
-    plain, delta = F.col("v"), F.col("gap")
-    of = {"p": plain, "d": delta}
+    of = {"p": F.col("v"), "d": F.col("gap")}
+    width = {x: bits(v) for x, v in of.items()}
     blocks = streams(index).groupBy("term", "stream", F.floor(F.col("i") / BLOCK).alias("block")).agg(
         F.count(F.lit(1)).alias("n"),
-        *(F.sum(F.greatest(F.lit(1), F.ceil(bits(v) / 7))).alias(f"vb_{x}") for x, v in of.items()),
-        *(F.max(bits(v)).alias(f"w_{x}") for x, v in of.items()),
-        *(F.array_sort(F.collect_list(bits(v))).alias(f"b_{x}") for x, v in of.items()),  # at most 128
+        *(F.sum(F.greatest(F.lit(1), F.ceil(w / 7))).alias(f"vb_{x}") for x, w in width.items()),
+        *(F.max(w).alias(f"w_{x}") for x, w in width.items()),
+        *(c.alias(f"c_{x}{j}") for x, w in width.items() for j, c in enumerate(_by_width(w))),
     )
-    at = F.ceil(F.col("n") * 0.9).cast("int") - 1
     for x in of:
-        blocks = blocks.withColumn(f"q_{x}", F.get(f"b_{x}", at))
-        cut = F.col(f"q_{x}")
-        over = F.size(F.filter(f"b_{x}", lambda w: w > cut))  # noqa: B023
-        blocks = blocks.withColumn(f"pf_{x}", 9 + F.ceil(F.col("n") * F.col(f"q_{x}") / 8) + 6 * over)
+        counts = [F.col(f"c_{x}{j}") for j in range(_WIDEST // _PER_LONG)]
+        blocks = once(blocks, f"q_{x}", _percentile(counts, F.ceil(F.col("n") * 0.9)))
+        blocks = blocks.withColumn(f"pf_{x}", 9 + F.ceil(F.col("n") * F.col(f"q_{x}.w") / 8) + 6 * (F.col("n") - F.col(f"q_{x}.s")))
     lists = blocks.groupBy("term", "stream").agg(
         F.sum("n").alias("n"), *(F.sum(f"{k}_{x}").alias(f"{k}_{x}") for k in ("vb", "pf") for x in of), *(F.max(f"w_{x}").alias(f"w_{x}") for x in of)
     )
