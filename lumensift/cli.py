@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
 from collections.abc import Iterable
 from typing import TextIO
 
@@ -15,6 +14,7 @@ from lumensift.functions.markup import clean_wikitext
 from lumensift.operators import codecs
 from lumensift.operators.index import build_index
 from lumensift.sources.loaders import find_source_pages, read_jsonl, read_txt_folder, read_wiki_xml, wiki_pages
+from lumensift.workspace import scratch
 
 SHOWN_POSITIONS = 32
 HELP = ":open <id> shows a source page, :help this, :quit ends"
@@ -51,7 +51,7 @@ class Cli:
 
     def engine(self) -> SearchEngine:
         o = self.o
-        path = o.index_dir or tempfile.mkdtemp(prefix="lumensift-index-")
+        path = o.index_dir or scratch(self.spark, "index")
         docs = None
         if o.txt:
             docs = read_txt_folder(self.spark, o.txt)

@@ -91,20 +91,29 @@ def from_table(df: DataFrame, doc_id: str | Column, text: str | Column, external
     return df.select(of(doc_id).cast("bigint").alias("doc_id"), of(doc_id if external_id is None else external_id).cast("string").alias("external_id"), of(text).cast("string").alias("text"))
 
 
-def renumbered(docs: DataFrame, most: int = 100_000) -> DataFrame:
+def renumbered(docs: DataFrame) -> DataFrame:
     """The rule for ids of 0 or less, in the order of the rows: such a row takes the next free number above all before it.
 
-    The rule is sequential, so it is for small inputs only: more than `most` rows are an error.
+    With z the number of such rows so far, its number is z plus the largest (id - z) of the other rows before it, or plus 0.
+    Counts and maxima run within partitions of the input and over sums of theirs, a row a partition; texts stay where they are.
     """
-    rows = docs.withColumn("__at", F.monotonically_increasing_id()).orderBy("__at").limit(most + 1).select("doc_id", "external_id", "text").collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows: give positive ids")
-    out, taken, following = [], set(), 1
-    for r in rows:
-        number = r.doc_id if r.doc_id and r.doc_id > 0 else following
-        following = max(following, number + 1)
-        if number in taken:
-            raise ValueError(f"Duplicate docId: {number}")
-        taken.add(number)
-        out.append((number, r.external_id, r.text))
-    return docs.sparkSession.createDataFrame(out, "doc_id bigint, external_id string, text string")
+    spark = docs.sparkSession
+    path = scratch(spark, "renumbered")
+    docs.select("doc_id", "external_id", "text").withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    given = F.col("doc_id") > 0
+    keys = rows.select("__at", F.shiftright("__at", 33).alias("__p"), F.when(given, F.col("doc_id")).alias("given"))
+    so_far = Window.partitionBy("__p").orderBy("__at")
+    keys = keys.withColumn("z", F.count(F.when(F.col("given").isNull(), 1)).over(so_far))
+    keys = keys.withColumn("g", F.max(F.col("given") - F.col("z")).over(so_far))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = keys.groupBy("__p").agg(F.max("z").alias("zs"), F.max("g").alias("gs"))
+    parts = parts.withColumn("z0", F.coalesce(F.sum("zs").over(before), F.lit(0)))
+    parts = parts.select("__p", "z0", F.greatest(F.lit(0), F.coalesce(F.max(F.col("gs") - F.col("z0")).over(before), F.lit(0))).alias("g0"))
+    # Within a partition the count starts at z0, so its own maxima are lower by as much.
+    number = F.greatest("g0", F.coalesce(F.col("g") - F.col("z0"), F.lit(0))) + F.col("z0") + F.col("z")
+    numbers = keys.join(F.broadcast(parts), "__p").select("__at", F.coalesce("given", number).cast("bigint").alias("number"))
+    twice = numbers.groupBy("number").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"Duplicate docId: {twice.number}")
+    return rows.join(numbers, "__at").select(F.col("number").alias("doc_id"), "external_id", "text")
