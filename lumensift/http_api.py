@@ -1,4 +1,4 @@
-"""A thin JSON API over a saved index: GET /api/search, /api/document and /api/config."""
+"""A thin JSON API over a saved index, GET /api/search, /api/document and /api/config, and a page that uses it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import json
 import time
 from collections import OrderedDict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 from threading import Lock
 from urllib.parse import parse_qs, urlsplit
 
@@ -17,6 +18,12 @@ from lumensift.functions.markup import clean_wikitext
 from lumensift.sources.loaders import find_source_pages, wiki_pages
 
 MAX_LIMIT, SHOWN_POSITIONS, CACHED_PAGES = 50, 32, 32
+HEADERS = {
+    "X-Content-Type-Options": "nosniff", "Cache-Control": "no-store", "Referrer-Policy": "no-referrer", "X-Frame-Options": "DENY",
+    "Content-Security-Policy": "default-src 'none'; script-src 'self'; style-src 'self'; connect-src 'self'",
+}
+#: Path and content type of the page's files, which lie in the folder web.
+FILES = {"/": ("search.html", "text/html"), "/search.js": ("search.js", "text/javascript"), "/search.css": ("search.css", "text/css")}
 
 
 class BadRequest(ValueError):
@@ -73,7 +80,8 @@ class SearchApi:
                 self.cache.popitem(last=False)
         return out
 
-    def answer(self, method: str, target: str) -> tuple[int, dict]:
+    def answer(self, method: str, target: str) -> tuple[int, dict | str]:
+        """The status and the body: an object, or the text of one of FILES."""
         url = urlsplit(target)
         params = {k: v[0] for k, v in parse_qs(url.query, keep_blank_values=True).items()}
         if method != "GET":
@@ -86,6 +94,8 @@ class SearchApi:
                 return (200, found) if found else (404, {"error": "unknown page"})
             if url.path == "/api/config":
                 return 200, {"defaultLimit": 10, "maxLimit": MAX_LIMIT, "operators": ["AND", "OR", "NOT", "ADJ", "EDGE", "NEAR/k"]}
+            if url.path in FILES:
+                return 200, (Path(__file__).parent / "web" / FILES[url.path][0]).read_text(encoding="utf-8")
         except (ValueError, OverflowError) as e:
             return 400, {"error": str(e)}
         return 404, {"error": "unknown path"}
@@ -97,9 +107,11 @@ def serve(api: SearchApi, host: str = "127.0.0.1", port: int = 8080) -> Threadin
     class Handler(BaseHTTPRequestHandler):
         def _reply(self) -> None:
             status, body = api.answer(self.command, self.path)
-            data = json.dumps(body, ensure_ascii=False).encode()
+            text = isinstance(body, str)
+            kind = FILES[urlsplit(self.path).path][1] if text else "application/json"
+            data = (body if text else json.dumps(body, ensure_ascii=False)).encode()
             self.send_response(status)
-            for k, v in (("Content-Type", "application/json; charset=utf-8"), ("Content-Length", str(len(data))), ("X-Content-Type-Options", "nosniff"), ("Cache-Control", "no-store")):
+            for k, v in {"Content-Type": f"{kind}; charset=utf-8", "Content-Length": str(len(data)), **HEADERS}.items():
                 self.send_header(k, v)
             self.end_headers()
             self.wfile.write(data)

@@ -19,21 +19,38 @@ from lumensift.workspace import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Saved indexes by session, folder and corpus: built at the first query and read by all others.
+#: Saved indexes by session, corpus and the files that it was read from: built at the first query and read by all others.
 _SAVED: dict[tuple, str] = {}
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: what changes when the table is rewritten."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listFiles(p, True) if fs.exists(p) else None
+    out = []
+    while found is not None and found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
-def index_of(spark: SparkSession, sf_dir: str, name: str = "documents", docs: Callable[[], DataFrame] | None = None) -> Index:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def saved_at(spark: SparkSession, sf_dir: str, name: str = "documents", docs: Callable[[], DataFrame] | None = None) -> str:
+    """Where the index of a corpus is saved; it is built if it is not."""
+    key = (spark.sparkContext.applicationId, name, _files(spark, f"{sf_dir}/{name}.parquet"))
     if key not in _SAVED:
         path = scratch(spark, f"index-{name}")
         build_index(docs() if docs else _documents(spark, sf_dir)).save(path)
         _SAVED[key] = path
-    return load_index(spark, _SAVED[key])
+    return _SAVED[key]
+
+
+def index_of(spark: SparkSession, sf_dir: str, name: str = "documents", docs: Callable[[], DataFrame] | None = None) -> Index:
+    return load_index(spark, saved_at(spark, sf_dir, name, docs))
 
 
 def _joined(positions: Column) -> Column:

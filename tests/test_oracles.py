@@ -3,12 +3,13 @@
 import duckdb
 import pytest
 
-from lumensift.plans import queries as q
+from lumensift.plans import queries, surface_queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "part", "benchmark", "conversations", "pages", "labels")
+TABLES = ("documents", "nation", "part", "benchmark", "conversations", "pages", "labels")
 # The codec report has its own tests; its SQL takes long for a test run.
-NAMES = sorted(set(q.queries()) - {"codec_size_report"})
+QUERIES, SQL = queries.queries() | surface_queries.queries(), queries.oracle_sql() | surface_queries.oracle_sql()
+NAMES = sorted(set(QUERIES) - {"codec_size_report"})
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_equal(spark, duck, name):
-    df = q.queries()[name](spark, SF)
-    want = duck.sql(q.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert sorted(str(tuple(r[c] for c in want.columns)) for r in df.collect()) == sorted(map(str, want.fetchall()))
