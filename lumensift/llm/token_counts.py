@@ -1,6 +1,8 @@
 """Token counts without tokens: Viterbi over unigram vocabulary matches, carrying only the best score and the piece count.
 
-The vocabulary and its scores are read from a SentencePiece model file. Each U+0020 is a word mark, and a text starts with
+The vocabulary and its scores are read from a SentencePiece model file. The scores of a BPE model are no log probabilities
+but ranks, from 0 down: by Zipf's law a piece of rank r gets -log(r + ZIPF), so the best segmentation is close to the merges'
+(README has figures). Each U+0020 is a word mark, and a text starts with
 one. A text is cut into words where a mark follows another character, so a run of marks stays with the word after it; if
 the vocabulary has no piece with a mark after another character, no piece crosses a cut and the best segmentation of a text
 is that of its words; with another vocabulary texts are not cut. In a word an Aho-Corasick automaton lists the pieces that end at each place, longest first; a candidate replaces the best one only
@@ -11,6 +13,7 @@ its UTF-8 bytes if the vocabulary has byte pieces, else one.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -22,6 +25,8 @@ from lumensift.llm.common import only, per_row
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: The shift in Zipf's law (as Mandelbrot gave it) for the pieces of a vocabulary that has ranks only.
+ZIPF = 100.0
 #: Words whose counts a task remembers, and the longest that it does.
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
@@ -39,13 +44,15 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def load_vocabulary(model_file: str) -> Vocabulary:
-    """The pieces that can match text (not control, unknown, unused or byte pieces) with their scores."""
+def load_vocabulary(model_file: str, zipf: float | None = ZIPF) -> Vocabulary:
+    """The pieces that can match text (not control, unknown, unused or byte pieces) with their scores; ranks, which are whole, become scores unless zipf is None."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ids = range(m.get_piece_size())
     pieces = {m.id_to_piece(i): float(m.get_score(i)) for i in ids if not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i) or m.is_byte(i))}
+    if zipf is not None and all(x <= 0 and x.is_integer() for x in pieces.values()):
+        pieces = {p: -math.log(zipf - rank) for p, rank in pieces.items()}
     return Vocabulary(pieces, min(pieces.values()), any(m.is_byte(i) for i in ids))
 
 

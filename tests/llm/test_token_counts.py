@@ -76,3 +76,15 @@ def test_whole_texts_with_runs_of_spaces():
     # Pieces that cross a word, in a made vocabulary.
     made = Vocabulary({MARK: -3.0, "a": -3.0, "b": -3.0, f"a{MARK}b": -1.0, f"{MARK}a": -2.0}, -3.0, False)
     assert text_counter(made)("a b")[:2] == (2, 2)
+
+
+def test_counts_are_close_to_the_merges_of_the_model(spark):
+    """The vocabulary is that of a BPE model: its ranks, read by Zipf's law, give nearly as many tokens as its merges."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["The quick brown fox jumps over the lazy dog."]
+    count, plain = text_counter(load_vocabulary(default_model())), text_counter(load_vocabulary(default_model(), zipf=None))
+    merged = sum(len(model.encode(t)) for t in texts)
+    assert abs(sum(count(t)[1] for t in texts) / merged - 1) < 0.02 < 0.1 < sum(plain(t)[1] for t in texts) / merged - 1
+    assert count("Hello world")[1] == len(model.encode("Hello world")) == 2
