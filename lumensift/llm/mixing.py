@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumensift.llm.common import lookup, only, staged
+from lumensift.llm.common import discard, lookup, only, staged
 
 WORDS = r"[^\x20\x09-\x0D]+"
 _BIG = "decimal(38,0)"
@@ -100,8 +100,9 @@ def mix(df: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str =
     and source count as empty names, a null text has no tokens; a leaf without tokens takes no part. Rows with equal ids
     stand at one place of the order and are taken together; other columns play no part; an empty table gives an empty mix.
 
-    The order is never held in one task: tokens are first summed by (leaf, leading digits of the place), a leaf's few
-    bucket sums locate the bucket where its prefix ends, and only that bucket's rows are sorted and summed one by one.
+    The order is never held in one task: tokens are first summed by (leaf, leading digits of the place); the sums of a
+    leaf's 256 groups of buckets, then those of one group's 256 buckets locate the bucket where its prefix ends, and only
+    that bucket's rows are sorted and summed one by one.
     """
     base = only(df, __id=id_col, __text=text_col, lang=lang_col, source=source_col)
     rows = staged(
@@ -119,15 +120,18 @@ def mix(df: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str =
     )
     placed = lookup(rows, plan, "leaf", "docs").filter("epochs is not null")
     placed = staged(placed.withColumn("place", F.md5(F.concat_ws(":", F.lit(targets.seed), "epochs", F.coalesce(F.col("__id").cast("string"), F.lit(""))).cast("binary"))), "placed")
+    discard(rows)
     bucket = F.substring("place", 1, BUCKET_DIGITS)
     sums = placed.filter("rest > 0").groupBy("leaf", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.count(F.lit(1)).alias("docs"))
-    upto = Window.partitionBy("leaf").orderBy("bucket")
-    ends = sums.withColumn("through", F.sum("n").over(upto)).filter(F.col("through") > F.col("rest")).groupBy("leaf").agg(
-        F.min(F.struct("bucket", (F.col("through") - F.col("n")).alias("before"))).alias("end")
-    )
-    # rest < tokens, so each such leaf has a bucket in which its prefix ends.
-    ends = ends.join(sums.groupBy("leaf").agg(F.sum("docs").alias("docs")), "leaf").select("leaf", "docs", F.col("end.bucket").alias("bucket"), F.col("end.before").alias("before"))
-    near = lookup(placed, staged(ends, "ends"), "leaf", "docs", salt="__id")
+    sums = staged(sums.withColumn("group", F.substring("bucket", 1, BUCKET_DIGITS // 2)), "bucket-sums")
+    groups = sums.groupBy("leaf", "group").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"), F.sum("docs").alias("docs"))
+    leaf_docs = groups.groupBy("leaf").agg(F.sum("docs").alias("docs"))
+    # rest < tokens, so each such leaf has a group of buckets, and in it a bucket, in which its prefix ends.
+    inside = sums.join(_end(groups.withColumn("start", F.lit(0)), "group").select("leaf", "group", F.col("before").alias("start")), ["leaf", "group"])
+    ends = _end(inside, "bucket").join(leaf_docs, "leaf").select("leaf", "docs", "bucket", "before")
+    ends = staged(ends, "ends")
+    discard(sums)
+    near = lookup(placed, ends, "leaf", "docs", salt="__id")
     columns = [F.col("__id").alias(id_col), F.col("domain"), F.col("lang").alias(lang_col), F.col("source").alias(source_col), F.col("n_tokens")]
     whole = placed.filter("epochs > 0").select(*columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("epochs") - 1)).alias("epoch"))
     ahead = near.filter(bucket < F.col("bucket")).select(*columns, F.col("epochs").alias("epoch"))
@@ -136,6 +140,14 @@ def mix(df: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str =
     return whole.union(ahead).union(edge)
 
 
+def _end(sums: DataFrame, name: str) -> DataFrame:
+    """leaf, name and the tokens before it: the first of sums(leaf, name, n, rest, start) with which start and the sums, in order of name, exceed rest."""
+    through = F.col("start") + F.sum("n").over(Window.partitionBy("leaf").orderBy(name))
+    over = sums.withColumn("through", through).filter(F.col("through") > F.col("rest"))
+    first = over.groupBy("leaf").agg(F.min(F.struct(name, (F.col("through") - F.col("n")).alias("before"))).alias("end"))
+    return first.select("leaf", F.col(f"end.{name}").alias(name), "end.before")
+
+
 def mix_sql(targets: Targets, documents: str = "documents") -> str:
     """The same mix in DuckDB's SQL, with plain running sums."""
 
