@@ -157,8 +157,8 @@ def first_documents(segments: DataFrame, window: int) -> DataFrame:
     distinct = staged(
         segments.groupBy("v", "key").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n")), "distinct"
     )
-    sizes = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-    sized = staged(distinct.join(sizes, "v"), "sized")
+    sizes = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("k")).withColumn("rows", F.col("k"))
+    sized = staged(lookup(distinct, sizes, "v", "rows", salt="key"), "sized")
     discard(distinct, shuffles=True)
     keys = ["v", "key"]
     firsts = _indexed(sized.filter(f"k <= {HOT}").select(*keys, "words", "first").repartition("v").sortWithinPartitions("v"), window)
