@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumensift.llm.common import lookup, one_of_each, only, per_row, row_key, staged, without
+from lumensift.llm.common import lookup, one_of_each, only, only_staged, per_row, row_key, staged, without
 from lumensift.llm.components import connected_components
 from lumensift.llm.token_counts import _arrow
 
@@ -90,13 +90,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _named(docs: DataFrame, classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """docs(__id, key) with component_id, the smallest first_id of the classes(key, node, first_id, n) that links(a, b) of nodes connect."""
-    found = connected_components(links)
-    named = found.join(classes, "node").select("node", "component", "first_id")
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("smallest"), F.count(F.lit(1)).alias("n"))
-    of_node = lookup(named.select("node", "component"), smallest, "component", "n", salt="node")
-    ids = classes.join(of_node.select("node", "smallest"), "node", "left").select(key, "n", F.coalesce("smallest", "first_id").alias("component_id"))
-    return lookup(docs, staged(ids, "ids"), key, "n", salt="__id")
+    """docs(__id, key) with component_id, the smallest first_id of the classes(key, node, first_id, n) that links(a, b) of nodes connect.
+
+    classes and links, both staged, are deleted.
+    """
+
+    def ids() -> DataFrame:
+        named = connected_components(links).join(classes, "node").select("node", "component", "first_id")
+        smallest = named.groupBy("component").agg(F.min("first_id").alias("smallest"), F.count(F.lit(1)).alias("n"))
+        of_node = lookup(named.select("node", "component"), smallest, "component", "n", salt="node")
+        return classes.join(of_node.select("node", "smallest"), "node", "left").select(key, "n", F.coalesce("smallest", "first_id").alias("component_id"))
+
+    return lookup(docs, only_staged(ids, "ids", docs.sparkSession, classes, links), key, "n", salt="__id")
 
 
 #: A long fingerprint is LONGS x 64 bits, read as parts of 32 bits.
@@ -220,7 +225,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = staged(long_fingerprints(df, id_col, text_col, shingle), "fingerprints")
     grouped = docs.groupBy("f").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed once written
-    out = _named(docs, classes, staged(part_links(classes, bits_for(similarity)), "links"), "f")
+    links = only_staged(lambda: part_links(classes, bits_for(similarity)), "links", df.sparkSession)
+    out = _named(docs, classes, links, "f")
     return out.select(F.col("__id").alias(id_col), "component_id")
 
 

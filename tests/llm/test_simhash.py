@@ -53,6 +53,17 @@ def test_fingerprint():
         assert f(t) & (2**64 - 1) == brute_fp(t)
 
 
+def test_fingerprints_of_a_very_long_text():
+    rng = random.Random(15)
+    words = [f"w{rng.randint(0, 99)}" for _ in range(70_000)]
+    counts, n = [0] * 64, len(words) - 2
+    for i in range(n):
+        h = xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), seed=42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    assert fingerprinter()(" ".join(words)) & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * counts[b] > n)
+
+
 def test_near_duplicates_against_brute_force(spark):
     rows = docs(random.Random(6))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("component_id", T.StringType())])
