@@ -13,6 +13,7 @@ from lumensift.engine import SearchEngine
 from lumensift.functions.markup import clean_wikitext
 from lumensift.operators import codecs
 from lumensift.operators.index import build_index
+from lumensift.operators.index_report import index_report
 from lumensift.sources.loaders import find_source_pages, read_jsonl, read_txt_folder, read_wiki_xml, wiki_pages
 from lumensift.workspace import scratch
 
@@ -37,7 +38,8 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--no-ranking", action="store_true")
     p.add_argument("--reader", choices=("mmap", "disk"), default="disk")
     p.add_argument("--compression", type=str.lower, choices=codecs.MODES, default="delta-varbyte", help="for the size report; tables are Parquet with zstd")
-    p.add_argument("--compare-compression", action="store_true")
+    p.add_argument("--compare-compression", action="store_true", help="sizes of the index under eight integer codecs")
+    p.add_argument("--index-report", metavar="QUERY", help="write time, size and query times of the index under each table codec")
     return p
 
 
@@ -64,6 +66,9 @@ class Cli:
         if docs is not None:
             if o.max_docs is not None:
                 docs = docs.filter(docs.doc_id <= o.max_docs)
+            if o.index_report:
+                for r in index_report(docs, scratch(self.spark, "report"), o.index_report).collect():
+                    self.say(f"{r.codec}, {r.write_seconds:.3f} s, {r.bytes} bytes, postings {r.postings_bytes}, cold {r.cold_seconds:.3f} s, warm {r.warm_seconds:.3f} s")
             build_index(docs).save(path)
         engine = SearchEngine.open(self.spark, path, o.reader)
         if o.compare_compression:

@@ -10,6 +10,7 @@ from lumensift import cli
 from lumensift.engine import SearchEngine
 from lumensift.http_api import SearchApi, serve
 from lumensift.operators.index import build_index
+from lumensift.operators.index_report import index_report
 from lumensift.sources.loaders import read_wiki_xml, wiki_pages
 
 
@@ -80,3 +81,20 @@ def test_nothing_else_imports_the_llm_package():
     for f in root.rglob("*.py"):
         if f.parent.name != "llm":
             assert "lumensift.llm" not in f.read_text(), f
+
+
+def test_index_report(spark, tmp_path, dump):
+    docs = read_wiki_xml(spark, dump)
+    rows = index_report(docs, str(tmp_path), "common", ("none", "zstd")).collect()
+    assert [r.codec for r in rows] == ["none", "zstd"] and all(r.write_seconds > 0 and r.bytes > r.postings_bytes > 0 and r.warm_seconds > 0 for r in rows)
+    out = io.StringIO()
+    assert cli.main(["--wiki", dump, "--query", "common", "--index-report", "common"], [], out, spark) == 0
+    assert [line.split(",")[0] for line in out.getvalue().splitlines()[:4]] == ["none", "snappy", "gzip", "zstd"]
+
+
+def test_page_and_headers(url):
+    for path, kind in (("/", "text/html"), ("/search.js", "text/javascript"), ("/search.css", "text/css")):
+        with urllib.request.urlopen(url + path) as r:
+            assert r.status == 200 and r.headers["Content-Type"] == f"{kind}; charset=utf-8" and r.headers["X-Frame-Options"] == "DENY" and "default-src 'none'" in r.headers["Content-Security-Policy"]
+            assert r.read()
+    assert get(f"{url}/../cli.py")[0] == 404
