@@ -14,6 +14,7 @@ from lumensift.llm.exact_dedup import exact_dedup
 from lumensift.llm.html_extract import HOST, extract
 from lumensift.llm.licenses import scan_licenses
 from lumensift.llm.mixing import Targets, mix, mix_sql
+from lumensift.llm.oracles import HTML_SQL, LEAKS_SQL, language_sql
 from lumensift.llm.simhash import near_duplicates
 from lumensift.llm.substring_dedup import dedup_substrings
 from lumensift.llm.token_counts import count_tokens
@@ -38,7 +39,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +107,10 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    sum(length(er) + length(et) + {len(chat.TURN + chat.TEXT + chat.END)})::BIGINT AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op3_benchmark_decontamination": LEAKS_SQL,
+        "op5_language_id": language_sql(langid.Settings()),
+        "page_languages": language_sql(langid.Settings(), pages=True),
+        "op8_html_extraction": HTML_SQL,
         "op6_exact_dedup": f"""
             WITH d AS (SELECT doc_id, sha256({_LOWER}) AS s FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
