@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,13 @@ class Index:
     postings: DataFrame
     dictionary: DataFrame
     stats: DataFrame
+    _totals: list = field(default_factory=list, repr=False, compare=False)
+
+    def totals(self) -> Row:
+        """The row of stats, read once."""
+        if not self._totals:
+            self._totals.append(self.stats.first())
+        return self._totals[0]
 
     def posting_list(self, term: str | None) -> DataFrame:
         """doc_id, tf, positions of a term, by doc_id; empty for an unknown or null one."""
@@ -51,7 +58,7 @@ class Index:
         return self.documents.filter(F.col("doc_id") == doc_id).first()
 
     def document_count(self) -> int:
-        return self.stats.first().n
+        return self.totals().n
 
     def document_frequency(self, term: str) -> int:
         row = self.dictionary.filter(F.col("term") == term).select("df").first()

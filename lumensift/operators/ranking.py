@@ -26,7 +26,7 @@ def scored(index: Index, found: DataFrame, terms: list[str], positive: list[str]
 
     The df of the query's terms and the collection's totals, a row each, are fetched; the rest is one join by doc_id.
     """
-    stats = index.stats.first()
+    stats = index.totals()
     df = {r.term: r.df for r in index.dictionary.filter(F.col("term").isin(positive)).select("term", "df").collect()} if positive else {}
     rows = found.join(index.documents, "doc_id")
     total: Column = F.lit(0.0)

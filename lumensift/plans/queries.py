@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Saved indexes by session, corpus and the files that it was read from: built at the first query and read by all others.
 _SAVED: dict[tuple, str] = {}
+_OPEN: dict[str, Index] = {}
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
@@ -50,7 +51,11 @@ def saved_at(spark: SparkSession, sf_dir: str, name: str = "documents", docs: Ca
 
 
 def index_of(spark: SparkSession, sf_dir: str, name: str = "documents", docs: Callable[[], DataFrame] | None = None) -> Index:
-    return load_index(spark, saved_at(spark, sf_dir, name, docs))
+    """The opened index: its tables' files are listed, and its totals read, once a session."""
+    path = saved_at(spark, sf_dir, name, docs)
+    if path not in _OPEN:
+        _OPEN[path] = load_index(spark, path)
+    return _OPEN[path]
 
 
 def _joined(positions: Column) -> Column:
