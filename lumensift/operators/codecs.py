@@ -25,8 +25,10 @@ def mode_of(name: str) -> tuple[str, bool]:
 
 
 def bits(v: Column) -> Column:
-    """Bits of a non-negative integer, 1 for 0."""
-    return F.length(F.bin(v))
+    """Bits of a non-negative integer, 1 for 0. The logarithm may be one off near a power of two: what is left above its place tells."""
+    n = F.greatest(v.cast("bigint"), F.lit(1).cast("bigint"))
+    e = F.floor(F.log2(n)).cast("int")
+    return (e + F.least(F.call_function("shiftright", n, e), F.lit(2).cast("bigint"))).cast("int")
 
 
 def streams(index: Index, span: int = 1 << 16) -> DataFrame:
@@ -65,12 +67,12 @@ def _by_width(width: Column) -> list[Column]:
     return [F.sum(F.when(F.floor(at / _PER_LONG) == j, one).otherwise(F.lit(0).cast("bigint"))) for j in range(_WIDEST // _PER_LONG)]
 
 
-def _percentile(counts: list[Column], need: Column) -> Column:
-    """(w, s): the least width up to which s >= need values reach."""
+def _percentile(counts: list[Column], need: Column, widest: Column) -> Column:
+    """(w, s): the least width up to which s >= need values reach; none is wider than widest."""
     packed = F.array(*counts)
     count = lambda at: F.call_function("shiftright", F.get(packed, F.floor(at / _PER_LONG).cast("int")), (8 * (at % _PER_LONG)).cast("int")).bitwiseAND(F.lit(255))
     start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("s"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(_WIDEST - 1)), start, lambda a, at: F.when(a["s"] >= need, a).otherwise(F.struct((at + 1).alias("w"), (a["s"] + count(at)).alias("s"))))
+    return F.aggregate(F.sequence(F.lit(0), widest - 1), start, lambda a, at: F.when(a["s"] >= need, a).otherwise(F.struct((at + 1).alias("w"), (a["s"] + count(at)).alias("s"))))
 
 
 def size_report(index: Index) -> DataFrame:
@@ -89,7 +91,7 @@ def size_report(index: Index) -> DataFrame:
     )
     for x in of:
         counts = [F.col(f"c_{x}{j}") for j in range(_WIDEST // _PER_LONG)]
-        blocks = once(blocks, f"q_{x}", _percentile(counts, F.ceil(F.col("n") * 0.9)))
+        blocks = once(blocks, f"q_{x}", _percentile(counts, F.ceil(F.col("n") * 0.9), F.col(f"w_{x}")))
         blocks = blocks.withColumn(f"pf_{x}", 9 + F.ceil(F.col("n") * F.col(f"q_{x}.w") / 8) + 6 * (F.col("n") - F.col(f"q_{x}.s")))
     lists = blocks.groupBy("term", "stream").agg(
         F.sum("n").alias("n"), *(F.sum(f"{k}_{x}").alias(f"{k}_{x}") for k in ("vb", "pf") for x in of), *(F.max(f"w_{x}").alias(f"w_{x}") for x in of)

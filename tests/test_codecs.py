@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumensift.operators import codecs
 from lumensift.operators.index import build_index
@@ -28,6 +29,12 @@ def test_modes(mode):
     assert codecs.mode_of(mode.upper()) == codecs.mode_of(mode)
 
 
+def test_bits(spark):
+    values = [0, *(v for k in range(63) for v in (2**k - 1, 2**k, 2**k + 1)), 2**63 - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    assert {r.v: r.b for r in df.select("v", codecs.bits(F.col("v")).alias("b")).collect()} == {v: max(1, v.bit_length()) for v in values}
+
+
 def test_errors():
     for bad in (lambda: codecs.mode_of("zip"), lambda: codecs.gaps([2, 1]), lambda: codecs.encode([-1], "varbyte"), lambda: codecs.encode([-1], "pfor"), lambda: codecs.encode([1], "zip")):
         with pytest.raises(ValueError):
