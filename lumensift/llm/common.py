@@ -57,17 +57,23 @@ def one_of_each(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return without(df, repeated, id_col, text_col).union(again.dropDuplicates([id_col, "__h"]).drop("__h"))
 
 
-#: Paths of the staged tables that are there, in the order of writing.
+#: Paths of the staged tables that are there, in the order of writing; tables written so far; how many between two calls of clean().
 _staged: list[str] = []
+_written = 0
+CLEAN_EVERY = 3
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: cuts the lineage, survives lost executors, and is computed once."""
+    global _written
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     _staged.append(path)
+    _written += 1
+    if _written % CLEAN_EVERY == 0:
+        clean(df.sparkSession)
     return out
 
 
@@ -87,7 +93,7 @@ def discard(*tables: DataFrame, shuffles: bool = False) -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of a plan when the JVM has collected it: after large ones this is asked for."""
+    """Spark deletes the shuffle files and broadcast tables of a plan when the driver's JVM has collected it: this is asked for, so that neither piles up."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
