@@ -9,6 +9,7 @@ from test_langid import languages
 from test_simhash import long_brute, long_components
 
 import corpus_pipeline
+from lumensift.llm import common
 from lumensift.llm.mixing import mix_sql
 from lumensift.llm.queries import TARGETS
 
@@ -75,7 +76,9 @@ def test_run_against_plain_stages(spark, folder):
     con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
     con.executemany("insert into documents values (?, ?, ?, ?)", rows)
     want = con.sql(mix_sql(TARGETS))
+    before = len(common._staged)
     got = corpus_pipeline.run(spark, folder)
+    assert len(common._staged) == before + 1  # of all that the stages have staged, the result is left
     assert sorted(str(tuple(r[c] for c in want.columns)) for r in got.collect()) == sorted(map(str, want.fetchall())) and got.count() > 50
 
 
