@@ -254,3 +254,12 @@ def test_invariants_on_driver_documents(spark):
     e = SearchEngine(of(spark, "/root/testdata/sf0.001"))
     both, adj, near = (set(found(e, q)) for q in ("of AND the", "of ADJ the", "of NEAR/1 the"))
     assert adj and adj <= near <= both and set(found(e, "of AND the AND NOT (of ADJ the)")) == both - adj
+
+
+def test_a_rewritten_table_gets_a_new_index(spark, tmp_path):
+    from lumensift.plans.queries import index_of
+
+    for text, want in (("old words", {"old", "words"}), ("new words here", {"new", "words", "here"})):
+        spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        first, again = (index_of(spark, str(tmp_path)) for _ in range(2))
+        assert first is again and {r.term for r in first.dictionary.collect()} == want
