@@ -34,7 +34,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose five-word shingles are similar (0.8 or more), directly or through others, the one with the smallest doc_id stays."""
+    """Of texts whose five-word shingles are similar (0.8 or more, estimated by SimHash), directly or through others, the one with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 

@@ -183,6 +183,60 @@ def test_part_links_of_a_large_family(spark):
     assert {i: parent.get(i, i) for i in fps} == want
 
 
+def far_within(rng, f, radius=38):
+    """f with radius bits changed, no 32-bit part by fewer than four."""
+    bits = [32 * k + b for k in range(8) for b in rng.sample(range(32), 4)]
+    rest = [b for b in range(256) if b not in bits]
+    return f ^ sum(1 << b for b in bits + rng.sample(rest, radius - len(bits)))
+
+
+def components_of(spark, fps, radius=38):
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(i, [signed(f >> 64 * k & 2**64 - 1) for k in range(4)]) for i, f in fps.items()], "node bigint, f array<bigint>")
+    parent = {r.node: r.component for r in connected_components(part_links(df, radius)).collect()}
+    return {i: parent.get(i, i) for i in fps}
+
+
+def within(fps, radius=38):
+    """id -> smallest id reachable by pairs within the radius, by all pairs."""
+    parent = {i: i for i in fps}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(fps)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_part_links_lose_no_pair_within_the_radius(spark):
+    """Pairs at the radius whose differences lie all over the fingerprint, pairs one bit beyond it, and others within it at random."""
+    rng = random.Random(11)
+    fps = {}
+    for i in range(0, 300, 3):
+        fps[i] = rng.getrandbits(256)
+        fps[i + 1], fps[i + 2] = far_within(rng, fps[i]), far_within(rng, fps[i], rng.choice((33, 39, 40)))
+    want = within(fps)
+    assert sum(want[i] == i - 1 for i in fps) >= 100 and components_of(spark, fps) == want
+    assert components_of(spark, fps, 60) == within(fps, 60) != want
+
+
+def test_part_links_of_texts_that_share_a_part(spark):
+    """Unlike fingerprints share a part; each has one partner at the radius, which no other is near."""
+    rng = random.Random(12)
+    seeds = [rng.getrandbits(256) >> 64 << 64 | 0x123456789ABCDEF0 for _ in range(150)]
+    fps = {2 * i: s for i, s in enumerate(seeds)} | {2 * i + 1: s ^ sum(1 << b for b in rng.sample(range(64, 256), 36)) ^ 0b11 for i, s in enumerate(seeds)}
+    fps |= {1000 + i: seeds[0] ^ sum(1 << b for b in rng.sample(range(64, 256), rng.randint(0, 12))) for i in range(200)}
+    want = within(fps)
+    assert len({want[i] for i in range(300)}) == 150 and components_of(spark, fps) == want
+
+
 def test_keep_one(spark):
     """One of each group stays, the smallest id; a null id is last; a text of fewer words than a shingle is one shingle."""
     df = spark.createDataFrame([(1, "a b c d"), (2, "A B C D"), (3, "a b c e"), (None, "a b c e"), (None, "z"), (None, "z")], "doc_id bigint, text string")
