@@ -12,6 +12,7 @@ from lumensift.engine import SearchEngine
 from lumensift.functions.text import snippet, tokens
 from lumensift.operators import algebra, codecs, ranking
 from lumensift.operators.index import Index, build_index, load_index
+from lumensift.operators.overlap import overlaps
 from lumensift.plans.language import parse
 from lumensift.plans.planner import candidates
 from lumensift.sources.loaders import from_table
@@ -350,9 +351,7 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 def _batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item as a query of its distinct terms, all in one job: how many documents hold a term of it, and how many postings."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = items.join(index_of(spark, sf).postings.select("term", "doc_id", "tf"), "term")
-    by_doc = hits.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tf"))
-    return by_doc.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("terms").alias("most_terms"), F.sum("tf").alias("postings")).select("item_id", *_big("docs", "most_terms", "postings"))
+    return overlaps(items, index_of(spark, sf)).select("item_id", *_big("docs", "most_terms", "postings"))
 
 
 _JAVA_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]+"
