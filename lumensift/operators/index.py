@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from lumensift.functions.text import Analyzer, snippet, tokens
 
 FORMAT_VERSION = 1
+#: Tokens whose postings are grouped at a time, unless one document has more: what a Python worker needs besides its batch.
+PIECE = 250_000
 DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("external_id", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("snippet", T.StringType())])
 POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
@@ -112,28 +114,37 @@ def build_index(docs: DataFrame, analyzer: Analyzer = tokens, check_ids: bool =
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, doc_id, tf, positions of rows (doc_id, toks), by array operations over each batch.
+    """term, doc_id, tf, positions of rows (doc_id, toks), by array operations over the rows of at most PIECE tokens at a time, or one row.
 
     Spark's own grouping would shuffle every (term, doc_id), though all of a document lies in one row, and its higher-order
     functions take ten times as long for the same.
     """
     for batch in batches:
-        toks, ids = batch.column(1), batch.column(0)
-        lengths = np.diff(toks.offsets.to_numpy())
-        words = toks.flatten().dictionary_encode()
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        at = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        code = words.indices.to_numpy().astype(np.int64)
-        order = np.argsort(row * (len(words.dictionary) + 1) + code, kind="stable")
-        row, code = row[order], code[order]
-        first = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(code, prepend=-1).astype(bool))
-        bounds = np.append(first, len(order)).astype(np.int32)
-        for a in range(0, len(first), 50_000):
-            b = min(len(first), a + 50_000)
-            lists = pa.ListArray.from_arrays(pa.array(bounds[a : b + 1] - bounds[a]), pa.array(at[order[bounds[a] : bounds[b]]]))
-            yield pa.RecordBatch.from_arrays(
-                [words.dictionary.take(pa.array(code[first[a:b]])), ids.take(pa.array(row[first[a:b]])), pa.array(np.diff(bounds[a : b + 1])), lists], names=["term", "doc_id", "tf", "positions"]
-            )
+        at, offsets = 0, batch.column(1).offsets.to_numpy()
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+            yield from _postings(batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at))
+            at = end
+        del batch  # before the next one is read
+
+
+def _postings(ids: pa.Array, toks: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """term, doc_id, tf, positions of some documents. This takes some 80 bytes a token besides the tokens."""
+    lengths = np.diff(toks.offsets.to_numpy())
+    words = toks.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+    code = words.indices.to_numpy().astype(np.int64)
+    order = np.argsort(row * (len(words.dictionary) + 1) + code, kind="stable")
+    row, code = row[order], code[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(code, prepend=-1).astype(bool))
+    bounds = np.append(first, len(order)).astype(np.int32)
+    for a in range(0, len(first), 50_000):
+        b = min(len(first), a + 50_000)
+        lists = pa.ListArray.from_arrays(pa.array(bounds[a : b + 1] - bounds[a]), pa.array(at[order[bounds[a] : bounds[b]]]))
+        yield pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(code[first[a:b]])), ids.take(pa.array(row[first[a:b]])), pa.array(np.diff(bounds[a : b + 1])), lists], names=["term", "doc_id", "tf", "positions"]
+        )
 
 
 def load_index(spark: SparkSession, path: str, reader: str = "disk", dictionary: bool = True) -> Index:

@@ -1,6 +1,8 @@
 import math
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from reference_model import near_walk, value
@@ -9,7 +11,7 @@ from lumensift.engine import SearchEngine, SearchPage
 from lumensift.functions import positions as P
 from lumensift.functions.text import snippet, tokens
 from lumensift.operators import algebra, ranking
-from lumensift.operators.index import DuplicateDocumentError, build_index, load_index
+from lumensift.operators.index import PIECE, DuplicateDocumentError, _grouped, build_index, load_index
 from lumensift.plans.language import MAX_DISTANCE, Adj, And, Near, Not, Or, QuerySyntaxError, Term, parse
 
 HISTORY = ["history russia blue mountain", "history of russia blue high mountain", "history europe blue mountain", "russia history mountain blue", "other document"]
@@ -263,3 +265,26 @@ def test_a_rewritten_table_gets_a_new_index(spark, tmp_path):
         spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         first, again = (index_of(spark, str(tmp_path)) for _ in range(2))
         assert first is again and {r.term for r in first.dictionary.collect()} == want
+
+
+def test_postings_are_grouped_in_pieces():
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdefgh") for _ in range(n)] for n in (0, 3, 0, PIECE - 3, 1, 0, PIECE + 7, 2, 50, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 20)), pa.array(texts, pa.list_(pa.string()))], names=["doc_id", "toks"])
+    got = [r for b in _grouped(iter([batch.slice(1), batch.slice(0, 1)])) for r in b.to_pylist()]
+    want = {(t, d): [i for i, x in enumerate(toks) if x == t] for d, toks in zip(range(10, 20), texts, strict=True) for t in set(toks)}
+    assert len(got) == len(want) and {(r["term"], r["doc_id"]): r["positions"] for r in got} == want
+    assert all(r["tf"] == len(r["positions"]) for r in got)
+
+
+def test_grouping_does_not_need_memory_for_a_whole_batch():
+    docs = 10 * PIECE // 100
+    toks = pa.ListArray.from_arrays(pa.array(range(0, 100 * docs + 1, 100), pa.int32()), pa.array([str(k) for k in range(1000)] * (docs // 10)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(docs)), toks], names=["doc_id", "toks"])
+    tracemalloc.start()
+    try:
+        for _ in _grouped(iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 130 * PIECE  # NumPy's arrays are traced
+    finally:
+        tracemalloc.stop()
